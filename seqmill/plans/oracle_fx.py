@@ -35,9 +35,31 @@ _FX: dict[str, tuple[list[str], str]] = {
         SELECT group_name, string_agg(protein_id, ',' ORDER BY protein_id) AS protein_ids
         FROM fx_member_rows GROUP BY group_name, yr"""),
     "fx_members": (["fx_members_raw"], """
-        SELECT DISTINCT r.group_name, m.protein_id
-        FROM fx_members_raw r, unnest(string_split(r.protein_ids, ',')) AS m(protein_id)
-        WHERE (SELECT count(DISTINCT x) FROM unnest(string_split(r.protein_ids, ',')) AS t(x)) > 1"""),
+        SELECT group_name, unnest(ids) AS protein_id
+        FROM (SELECT group_name, list_distinct(string_split(protein_ids, ',')) AS ids FROM fx_members_raw)
+        WHERE len(ids) >= 2"""),
+    "fx_labelled0": (["fx_members", "fx_proteins"], """
+        SELECT m.protein_id, m.group_name, p.description, p.sequence
+        FROM fx_members m JOIN fx_proteins p ON p.id = m.protein_id
+        WHERE p.sequence IS NOT NULL"""),
+    "fx_labelled": (["fx_labelled0"], """
+        SELECT * FROM fx_labelled0
+        WHERE group_name IN (SELECT group_name FROM fx_labelled0 GROUP BY group_name HAVING count(*) >= 2)"""),
+    "fx_single": (["fx_labelled"], """
+        SELECT * FROM fx_labelled
+        WHERE protein_id NOT IN (SELECT protein_id FROM fx_labelled GROUP BY protein_id
+                                 HAVING count(DISTINCT group_name) > 1)"""),
+    "fx_split_t": (["fx_single"], """
+        SELECT group_name, row_number() OVER (ORDER BY md5('42:' || group_name), group_name)
+               <= (SELECT ceil(0.15 * count(DISTINCT group_name)) FROM fx_single) AS is_test
+        FROM (SELECT DISTINCT group_name FROM fx_single)"""),
+    "fx_split_v": (["fx_split_t"], """
+        SELECT group_name, row_number() OVER (ORDER BY md5('42:' || group_name), group_name)
+               <= (SELECT ceil(0.15 * count(*)) FROM fx_split_t WHERE NOT is_test) AS is_val
+        FROM fx_split_t WHERE NOT is_test"""),
+    "fx_split": (["fx_single", "fx_split_t", "fx_split_v"], """
+        SELECT s.*, CASE WHEN t.is_test THEN 'test' WHEN v.is_val THEN 'val' ELSE 'train' END AS split
+        FROM fx_single s JOIN fx_split_t t USING (group_name) LEFT JOIN fx_split_v v USING (group_name)"""),
     "fx_proteins": (["fx_seq"], """
         SELECT 'P.' || CAST(o.o_orderkey AS VARCHAR) || '.1' AS id, o.o_orderpriority AS description,
                s.seq_str AS sequence
@@ -81,7 +103,10 @@ def with_fx(names, body: str) -> str:
 
     for n in names:
         visit(n)
+    body = body.strip()
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({_FX[n][1]}\n)" for n in order)
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -1,3 +1,227 @@
-"""Queries (see module docstring in registry)."""
+"""Dataset-build and classifier-prep queries (S2-S5 data path, G1-G4, J1, J7,
+L1-L8, F1, F8, X1-X4, W3-W5)."""
 
-from seqmill.plans.registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from seqmill.functions import encode as E
+from seqmill.functions import strings as S
+from seqmill.functions import vector as V
+from seqmill.operators import prep as P
+from seqmill.operators import sampling as SM
+from seqmill.plans import fixtures as FX
+from seqmill.plans.oracle_fx import with_fx
+from seqmill.plans.registry import query
+from seqmill.sources.tables import Tables
+
+
+def labelled(t: Tables):
+    members = P.explode_members(FX.fx_members_raw(t))
+    rows = P.attach_sequences(members, FX.fx_proteins(t))
+    return P.drop_small_groups(rows, "group_name", 2)
+
+
+def split_rows(t: Tables):
+    return P.three_way_split(P.resolve_multi_group(labelled(t)), "group_name", 0.15, 42)
+
+
+@query("members_exploded", with_fx(["fx_members"], "SELECT group_name, protein_id FROM fx_members"))
+def members_exploded(spark, sf_dir):
+    """G1: raw comma lists -> distinct ids per row, rows with <2 ids dropped."""
+    return P.explode_members(FX.fx_members_raw(Tables(spark, sf_dir)))
+
+
+@query("labelled_sequences", with_fx(["fx_labelled"], """
+SELECT group_name, protein_id, description, CAST(length(sequence) AS INT) AS seq_len, md5(sequence) AS seq_md5
+FROM fx_labelled"""))
+def labelled_sequences(spark, sf_dir):
+    """J1 + F2 + G2: memberships joined to sequences, singleton groups dropped."""
+    r = labelled(Tables(spark, sf_dir))
+    return r.select("group_name", "protein_id", "description",
+                    F.length("sequence").alias("seq_len"), F.md5("sequence").alias("seq_md5"))
+
+
+@query("multi_group_dropped", with_fx(["fx_labelled", "fx_single"], """
+SELECT group_name, count(*) AS n_rows
+FROM fx_labelled WHERE protein_id NOT IN (SELECT protein_id FROM fx_single)
+GROUP BY group_name"""))
+def multi_group_dropped(spark, sf_dir):
+    """Rows removed because their protein sits in more than one group."""
+    lab = labelled(Tables(spark, sf_dir))
+    kept = P.resolve_multi_group(lab)
+    gone = lab.join(kept.select("protein_id").distinct(), "protein_id", "left_anti")
+    return gone.groupBy("group_name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("dataset_split", with_fx(["fx_split"], "SELECT group_name, protein_id, split FROM fx_split"), bench=True)
+def dataset_split(spark, sf_dir):
+    """L1/L2 (+G3): group-level train/val/test split, seed 42, fraction 0.15."""
+    return split_rows(Tables(spark, sf_dir)).select("group_name", "protein_id", "split")
+
+
+@query("split_summary", with_fx(["fx_split"], """
+SELECT split, count(DISTINCT group_name) AS n_groups, count(*) AS n_rows,
+       count(DISTINCT protein_id) AS n_proteins, CAST(sum(length(sequence)) AS BIGINT) AS n_residues
+FROM fx_split GROUP BY split"""))
+def split_summary(spark, sf_dir):
+    """Profile of each split (groups, rows, proteins, residues)."""
+    s = split_rows(Tables(spark, sf_dir))
+    return s.groupBy("split").agg(F.countDistinct("group_name").alias("n_groups"),
+                                  F.count(F.lit(1)).alias("n_rows"),
+                                  F.countDistinct("protein_id").alias("n_proteins"),
+                                  F.sum(F.length("sequence")).cast("long").alias("n_residues"))
+
+
+@query("split_leaks", with_fx(["fx_split"], """
+SELECT split, 'group_name' AS "column", group_name AS value FROM fx_split
+WHERE split <> 'train' AND group_name IN (SELECT group_name FROM fx_split WHERE split = 'train')
+UNION
+SELECT split, 'protein_id', protein_id FROM fx_split
+WHERE split <> 'train' AND protein_id IN (SELECT protein_id FROM fx_split WHERE split = 'train')"""))
+def split_leaks(spark, sf_dir):
+    """Ids or groups of val/test present in train (must be empty)."""
+    return P.assert_disjoint(split_rows(Tables(spark, sf_dir)))
+
+
+_CLS = """
+cf0 AS (SELECT group_name AS labels,
+               array_to_string(string_split(protein_id, '.')[2:], '.') AS protein_id,
+               sequence AS protein_seq FROM fx_labelled),
+cf AS (SELECT * FROM cf0 WHERE labels IN (SELECT labels FROM cf0 GROUP BY labels HAVING count(*) >= 10)),
+codes AS (SELECT labels, CAST(row_number() OVER (ORDER BY labels) - 1 AS INT) AS label_code
+          FROM (SELECT DISTINCT labels FROM cf)),
+nl AS (SELECT labels, count(*) AS n_l FROM cf GROUP BY labels),
+tot AS (SELECT count(*) AS n, ceil(0.1 * count(*)) AS n_test FROM cf),
+q AS (SELECT labels, n_l, CASE WHEN n_l > 1 THEN floor(n_test * n_l / n) ELSE 0 END AS base,
+             n_test * n_l / n - floor(n_test * n_l / n) AS frac, md5('1:' || labels) AS lh
+      FROM nl, tot),
+rem AS (SELECT (SELECT n_test FROM tot) - sum(base) AS r FROM q),
+ex AS (SELECT labels, row_number() OVER (ORDER BY frac DESC, lh, labels) <= (SELECT r FROM rem) AS extra
+       FROM q WHERE n_l > 1 AND base < n_l),
+kt AS (SELECT q.labels, q.base + CASE WHEN ex.extra THEN 1 ELSE 0 END AS k FROM q LEFT JOIN ex USING (labels)),
+st AS (SELECT cf.*, row_number() OVER (PARTITION BY cf.labels ORDER BY md5('1:' || cf.protein_id), cf.protein_id)
+                    <= kt.k AS is_test
+       FROM cf JOIN kt USING (labels))"""
+
+
+def classifier_frame(t: Tables):
+    lab = labelled(t)
+    cf = lab.select(F.col("group_name").alias("labels"),
+                    S.strip_prefix("protein_id").alias("protein_id"),
+                    F.col("sequence").alias("protein_seq"))
+    cf = P.drop_small_groups(cf, "labels", 10)
+    codes = _label_codes(cf, "labels")
+    return cf.join(codes, "labels")
+
+
+def _label_codes(df, label):
+    """Sorted distinct labels -> 0..k-1 (window over the label table only)."""
+    d = df.select(label).distinct()
+    return d.select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("int").alias("label_code"))
+
+
+@query("classifier_frame", with_fx(["fx_labelled"], f"""
+WITH {_CLS.strip()}
+SELECT st.labels, st.protein_id, codes.label_code, CASE WHEN is_test THEN 'test' ELSE 'train' END AS split,
+       CAST(length(protein_seq) AS INT) AS seq_len
+FROM st JOIN codes USING (labels)"""))
+def classifier_frame_q(spark, sf_dir):
+    """Classifier frame with label codes and a 10 %
+    stratified split (seed 1)."""
+    cf = classifier_frame(Tables(spark, sf_dir))
+    s = P.stratified_split(cf, "labels", "protein_id", 0.1, 1)
+    return s.select("labels", "protein_id", "label_code", "split", F.length("protein_seq").alias("seq_len"))
+
+
+_VOCAB_SQL = ", ".join(f"('{c}', {4 + i})" for i, c in enumerate(E.DEFAULT_RESIDUES))
+
+
+@query("encoded_sequences", with_fx(["fx_labelled"], f"""
+WITH voc AS (SELECT * FROM (VALUES {_VOCAB_SQL}) v(tok, id)),
+cf0 AS (SELECT array_to_string(string_split(protein_id, '.')[2:], '.') AS protein_id,
+               translate(sequence, 'UZOB-', 'XXXXX') AS s, group_name FROM fx_labelled),
+cf AS (SELECT * FROM cf0 WHERE group_name IN (SELECT group_name FROM cf0 GROUP BY 1 HAVING count(*) >= 10)),
+tk AS (SELECT cf.group_name, cf.protein_id, r.pos, coalesce(voc.id, 3) AS tid
+       FROM cf, unnest(range(least(length(cf.s), 1022))) AS r(pos)
+       LEFT JOIN voc ON voc.tok = substr(cf.s, r.pos + 1, 1))
+SELECT group_name, protein_id, CAST(count(*) + 2 AS INT) AS n_tokens,
+       md5('0,' || string_agg(CAST(tid AS VARCHAR), ',' ORDER BY pos) || ',2' || repeat(',1', 1022 - count(*)))
+         AS ids_md5
+FROM tk GROUP BY group_name, protein_id"""))
+def encoded_sequences(spark, sf_dir):
+    """X2 + X4: residue normalisation, token ids with cls/eos, pad to 1024;
+    reported as (token count, md5 of the comma-joined ids)."""
+    t = Tables(spark, sf_dir)
+    lab = P.drop_small_groups(labelled(t), "group_name", 10)
+    vmap = E.vocab_map(E.default_vocab(spark))
+    ids, mask = E.encode_sequence(S.normalize_residues("sequence"), vmap, 1024, True)
+    x = lab.select("group_name", S.strip_prefix("protein_id").alias("protein_id"), ids.alias("input_ids"),
+                   mask.alias("attention_mask"))
+    return x.select("group_name", "protein_id",
+                    F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("n_tokens"),
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+@query("label_one_hot", with_fx(["fx_labelled"], f"""
+WITH {_CLS.strip()}
+SELECT labels, label_code,
+       repeat('0,', label_code) || '1' || repeat(',0', (SELECT count(*) FROM codes) - 1 - label_code) AS one_hot
+FROM codes"""))
+def label_one_hot(spark, sf_dir):
+    """W5 + L7: label map with one-hot vectors (as text)."""
+    cf = classifier_frame(Tables(spark, sf_dir))
+    codes = cf.select("labels", "label_code").distinct()
+    k = codes.count()
+    oh = V.one_hot("label_code", k)
+    return codes.select("labels", "label_code",
+                        F.array_join(F.transform(oh, lambda x: x.cast("int").cast("string")), ",").alias("one_hot"))
+
+
+@query("spaced_sequences", with_fx(["fx_labelled"], """
+SELECT protein_id, md5(array_to_string(string_split(translate(sequence, 'UZOB-', 'XXXXX'), ''), ' ')) AS spaced_md5,
+       CAST(length(sequence) * 2 - 1 AS INT) AS spaced_len
+FROM fx_labelled"""))
+def spaced_sequences(spark, sf_dir):
+    """X2 + X3: normalised, space-separated residues (T5-style input)."""
+    lab = labelled(Tables(spark, sf_dir))
+    sp = S.space_out(S.normalize_residues("sequence"))
+    return lab.select("protein_id", F.md5(sp).alias("spaced_md5"), F.length(sp).alias("spaced_len"))
+
+
+@query("group_downsample", with_fx(["fx_split"], """
+SELECT group_name, protein_id FROM (
+  SELECT group_name, protein_id,
+         row_number() OVER (PARTITION BY group_name ORDER BY CAST(split_part(protein_id, '.', 2) AS BIGINT)) AS rn
+  FROM fx_split WHERE split = 'val')
+WHERE rn <= 3"""))
+def group_downsample(spark, sf_dir):
+    """Keep the first 3 rows (by id) of every group of the val split."""
+    s = split_rows(Tables(spark, sf_dir)).where(F.col("split") == "val").select(
+        "group_name", "protein_id", F.split("protein_id", r"\.")[1].cast("long").alias("_ord"))
+    return SM.cap_per_group(s, "group_name", "_ord", 3, ["protein_id"]).drop("_ord")
+
+
+@query("sampled_groups", with_fx(["fx_labelled"], """
+SELECT group_name, protein_id FROM fx_labelled
+WHERE group_name IN (SELECT group_name FROM (SELECT DISTINCT group_name FROM fx_labelled)
+                     ORDER BY md5('7:' || group_name), group_name LIMIT 500)"""))
+def sampled_groups(spark, sf_dir):
+    """500 groups by seeded hash (seed 7) with all their rows."""
+    lab = labelled(Tables(spark, sf_dir)).select("group_name", "protein_id")
+    return SM.sample_groups(lab, "group_name", 500, seed=7)
+
+
+@query("sampled_rows", with_fx(["fx_labelled"], """
+SELECT protein_id, group_name FROM (
+  SELECT protein_id, group_name, row_number() OVER (ORDER BY md5('3:' || protein_id || ':' || group_name), protein_id, group_name) AS rn
+  FROM fx_labelled)
+WHERE rn <= (SELECT count(*) - CAST(floor(count(*) * (1 - 0.25)) AS BIGINT) FROM fx_labelled)"""))
+def sampled_rows(spark, sf_dir):
+    """Keep a 25 % row fraction (drop int(n*0.75) rows by seeded hash)."""
+    lab = labelled(Tables(spark, sf_dir)).select("protein_id", "group_name")
+    n = lab.count()
+    keep = n - int(n * (1 - 0.25))
+    h = lab.withColumn("_h", SM.seeded_hash(3, "protein_id", "group_name"))
+    return SM.take_smallest(h, [], "_h", keep, ["protein_id", "group_name"]).drop("_h")

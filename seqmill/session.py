@@ -22,6 +22,7 @@ _LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # wide float arrays: keep Arrow batches moderate
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.driver.memory": "20g",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
