@@ -70,7 +70,7 @@ _FX: dict[str, tuple[list[str], str]] = {
                seq_id, doc_id AS seq_ord, replace(seq_str, 'E', '-E') AS gapped
         FROM fx_seq"""),
     "fx_msa": (["fx_msa_g"], """
-        SELECT g.align_id, g.seq_id, g.seq_ord, rpad(g.gapped, w.width, '-') AS seq_str
+        SELECT g.align_id, g.seq_id, g.seq_ord, rpad(g.gapped, CAST(w.width AS INTEGER), '-') AS seq_str
         FROM fx_msa_g g JOIN (SELECT align_id, max(length(gapped)) AS width FROM fx_msa_g GROUP BY align_id) w
           USING (align_id)"""),
     "fx_residues": (["fx_seq"], """
