@@ -21,32 +21,36 @@ def with_unit_and_ranks(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.withColumn("_u", V.unit(vec)).withColumn("_r", V.centered_rank_unit(F.col(vec)))
 
 
-def _sum_vectors(df: DataFrame, key: list[str], arr: str, tag: str) -> DataFrame:
-    e = df.where(F.col(arr).isNotNull()).select(*key, F.posexplode(arr).alias("_i", "_x"))
-    per_dim = e.groupBy(*key, "_i").agg(F.sum("_x").alias("_s"))
-    sq = per_dim.groupBy(*key).agg(F.sum(F.col("_s") * F.col("_s")).alias(f"_ss_{tag}"))
-    n = df.where(F.col(arr).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias(f"_n_{tag}"))
-    return n.join(sq, key, "left")
-
-
 def group_cohesion(df: DataFrame, key, vec: str = "vec", digits: int = 6) -> DataFrame:
-    """Per group: n_vectors, n_pairs, mean pairwise cosine and Spearman."""
+    """Per group: n_vectors, n_pairs, mean pairwise cosine and Spearman.
+
+    One pass: unit and rank vectors are computed once per row, exploded by
+    dimension and summed per (group, dim) with map-side partial aggregation;
+    a second tiny aggregation squares and adds the per-dimension sums.
+    """
     key = [key] if isinstance(key, str) else list(key)
-    x = with_unit_and_ranks(df.select(*key, vec), vec)
-    cnt = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_vectors"))
-    cu = _sum_vectors(x, key, "_u", "u")
-    cr = _sum_vectors(x, key, "_r", "r")
+    x = df.select(*key, F.col(vec).alias("_v")).withColumn("_u", V.unit("_v")) \
+          .withColumn("_r", V.centered_rank_unit(F.col("_v")))
+    e = x.select(*key, F.col("_u").isNotNull().alias("_hu"), F.col("_r").isNotNull().alias("_hr"),
+                 F.posexplode(F.arrays_zip(F.coalesce("_u", F.array()), F.coalesce("_r", F.array()),
+                                           F.col("_v"))).alias("_i", "_z"))
+    per_dim = e.groupBy(*key, "_i").agg(
+        F.sum(F.col("_z")["0"]).alias("_su"), F.sum(F.col("_z")["1"]).alias("_sr"),
+        F.sum(F.col("_hu").cast("long")).alias("_nu"), F.sum(F.col("_hr").cast("long")).alias("_nr"),
+        F.count(F.lit(1)).alias("_nv"))
+    per_key = per_dim.groupBy(*key).agg(
+        F.sum(F.col("_su") * F.col("_su")).alias("_ssu"), F.sum(F.col("_sr") * F.col("_sr")).alias("_ssr"),
+        F.max("_nu").alias("_nu"), F.max("_nr").alias("_nr"), F.max("_nv").alias("n_vectors"))
 
     def mean_pairs(n, ss):
         return F.when(F.col(n) > 1, (F.col(ss) - F.col(n)) / (F.col(n) * (F.col(n) - 1)))
 
-    out = cnt.join(cu, key, "left").join(cr, key, "left")
-    return out.select(
+    return per_key.select(
         *key,
         F.col("n_vectors").cast("long").alias("n_vectors"),
         (F.col("n_vectors") * (F.col("n_vectors") - 1) / 2).cast("long").alias("n_pairs"),
-        F.round(mean_pairs("_n_u", "_ss_u"), digits).alias("mean_cosine"),
-        F.round(mean_pairs("_n_r", "_ss_r"), digits).alias("mean_spearman"),
+        F.round(mean_pairs("_nu", "_ssu"), digits).alias("mean_cosine"),
+        F.round(mean_pairs("_nr", "_ssr"), digits).alias("mean_spearman"),
     )
 
 
