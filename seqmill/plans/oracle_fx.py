@@ -86,7 +86,7 @@ _FX: dict[str, tuple[list[str], str]] = {
     "fx_clust": ([], """
         SELECT vec_id, label,
                list_transform(generate_series(0, len(embedding) - 1),
-                              i -> CAST(embedding[i + 1] AS DOUBLE) * 0.1 + CASE WHEN i = label THEN 1.0 ELSE 0.0 END) AS vec
+                              lambda i: CAST(embedding[i + 1] AS DOUBLE) * 0.1 + CASE WHEN i = label THEN 1.0 ELSE 0.0 END) AS vec
         FROM embeddings"""),
 }
 
@@ -107,6 +107,8 @@ def with_fx(names, body: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({_FX[n][1]}\n)" for n in order)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
