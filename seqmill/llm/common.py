@@ -89,3 +89,9 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     Beyond that the table is returned as it is and Spark joins by shuffle.
     """
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def filesystem(uri: str):
+    """``(filesystem, path)`` of a folder that driver and executors share."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(uri)

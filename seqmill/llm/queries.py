@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmill.llm import mixing, packing, quality, simhash
+from seqmill.llm import crosspoly, ctxmix, htmltext, mixing, packing, quality, simhash, sketch, tokenfile, warc
 from seqmill.llm.common import read_table
 from seqmill.llm.registry import query
 
@@ -26,6 +26,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), word_vocabulary(), capacity=4096, end_id=1)
 
 
+@query("op4_warc_archives")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+@query("op5_bottom_k_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sketch.fingerprints(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                       sketch.as_text(F.col("sketch")).alias("fingerprint"),
+                       sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+                       "near_edited", "near_next")
+
+
 @query("op6_source_mixing", """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -68,3 +82,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, most=3, seed=42)
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_html_layout_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(read_table(spark, sf_dir, "documents"), word_vocabulary(), end_id=1)
+
+
+@query("op7_cross_polytope_links")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_vectors(read_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+@query("op2_context_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctxmix.scores(read_table(spark, sf_dir, "documents"), mod=7, rest=2)
