@@ -71,16 +71,18 @@ def build(page: str) -> Node:
     root = Node("html")
     stack = [root]
 
-    def pop_to(names, stops) -> None:
+    def pop_to(names, stops, every: bool = False) -> None:
+        """Close the nearest open element of these names below the nearest stop; ``every``: all of them (a cell, its row)."""
+        at = None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in stops:
-                return
+                break
             if stack[i].tag in names:
-                del stack[i:]
-                # an outer one may be implied to end as well (a cell, then its row)
-                if i > 1 and any(n.tag in names for n in stack[1:]):
-                    pop_to(names, stops)
-                return
+                at = i
+                if not every:
+                    break
+        if at is not None:
+            del stack[at:]
 
     def text(s: str) -> None:
         if s:
@@ -116,7 +118,7 @@ def build(page: str) -> Node:
         if tag in _CLOSES_P:
             pop_to({"p"}, {"td", "th", "table", "button", "li", "dd", "dt"} - {tag})
         if tag in _ENDS:
-            pop_to(*_ENDS[tag])
+            pop_to(*_ENDS[tag], every=True)
         node = Node(tag, _attributes(m[3]) if m[3].strip(" /\n\t\r") else None)
         stack[-1].children.append(node)
         if tag in _RAW:

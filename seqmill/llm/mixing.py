@@ -132,10 +132,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat a key are taken equally often, so the mix is joined back by
     one row a key.
     """
-    key = options.get("key", "doc_id")
+    key, source = options.get("key", "doc_id"), options.get("source", "source")
     plan = mix(docs, **options).where("copies > 0").groupBy(F.col(key).alias("k_"), F.col("source").alias("s_")).agg(
         F.first("copies").alias("n_"))
-    source = options.get("source", "source")
-    j = docs.join(plan, docs[key].eqNullSafe(F.col("k_")) & docs[source].eqNullSafe(F.col("s_")))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return j.select(*names, F.explode(F.sequence(F.lit(1), F.col("n_"))).alias("i_")).select(*names)
+    j = docs.join(plan, docs[key].eqNullSafe(plan["k_"]) & docs[source].eqNullSafe(plan["s_"]))
+    names = [docs[f"`{c}`"] for c in docs.columns]
+    again = "__seqmill_copy"
+    return j.select(*names, F.explode(F.sequence(F.lit(1), plan["n_"])).alias(again)).drop(again)

@@ -188,10 +188,12 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, key: str =
     rows = cut(features(docs, key, text))
     model = rows.sparkSession.sparkContext.broadcast(train(rows, labels, key, label, **shrinkage))
 
+    own = "__seqmill_text_bytes"
+
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text_bytes_"):
-                good = model.value.scores(_matrix(part.column("text_bytes_"))) >= least
-                yield part.drop_columns(["text_bytes_"]).filter(pa.array(good))
+            for part in chunks(batch, own):
+                good = model.value.scores(_matrix(part.column(own))) >= least
+                yield part.drop_columns([own]).filter(pa.array(good))
 
-    return docs.withColumn("text_bytes_", text_bytes(text)).mapInArrow(run, docs.schema)
+    return docs.withColumn(own, text_bytes(text)).mapInArrow(run, docs.schema)

@@ -242,9 +242,9 @@ def keep_one(docs: DataFrame, width: int = 3, most: int = 3, seed: int = 42,
     best = (_classed(rows, most).groupBy("c")
             .agg(F.min(F.struct(F.col("k").isNull().alias("n"), "k", "h")).alias("b"))
             .select(F.col("b.k").alias("k_"), F.col("b.h").alias("h_")))
-    hashed = docs.withColumn("hash_of_text_", F.xxhash64(F.col(text)))
-    kept = hashed.join(best, hashed["hash_of_text_"].eqNullSafe(F.col("h_")) & hashed[key].eqNullSafe(F.col("k_")),
-                       "left_semi")
+    own = "__seqmill_text_hash"
+    hashed = docs.withColumn(own, F.xxhash64(F.col(text)))
+    kept = hashed.join(best, hashed[own].eqNullSafe(best["h_"]) & hashed[key].eqNullSafe(best["k_"]), "left_semi")
     if not rows.groupBy("k", "h").count().where("count > 1").limit(1).isEmpty():
-        kept = kept.dropDuplicates([key, "hash_of_text_"])
-    return kept.drop("hash_of_text_")
+        kept = kept.dropDuplicates([key, own])
+    return kept.drop(own)
