@@ -27,8 +27,9 @@ def space_out(s) -> Column:
 
 
 def letters_upper(text) -> Column:
-    """ASCII letters of a text, upper-cased (used to derive residue strings)."""
-    return F.upper(F.regexp_replace(_c(text), "[^A-Za-z]", ""))
+    """All letters of a text, upper-cased; a letter beyond A-Z becomes the unknown residue X."""
+    letters = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"\P{L}", "")
+    return F.upper(F.regexp_replace(letters, "[^A-Za-z]", "X"))
 
 
 def hamming(a, b) -> Column:

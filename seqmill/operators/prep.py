@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmill.operators.sampling import flag_smallest, seeded_hash
+from seqmill.operators.sampling import HASH_BITS, flag_smallest, seeded_hash
+from seqmill.session import cut
 
 
 def explode_members(raw: DataFrame, group_col: str = "group_name", ids_col: str = "protein_ids",
@@ -57,24 +58,48 @@ def resolve_multi_group(df: DataFrame, protein: str = "protein_id", group: str =
         {"force_test": False})
 
 
+def filter_length(df: DataFrame, seq: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """rows whose sequence has ``low`` to ``high`` residues; a null sequence has no length."""
+    n = F.length(seq)
+    ok = n.isNotNull()
+    ok = ok if low is None else ok & (n >= low)
+    return df.where(ok if high is None else ok & (n <= high))
+
+
+def duplicates(df: DataFrame, key: str) -> DataFrame:
+    """Q3: keys that occur more than once, with how often; empty when the key is unique."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
 def _ceil(x: float) -> int:
     return int(-(-x // 1))
 
 
-def _group_table(df: DataFrame, key: str, seed) -> DataFrame:
-    """Distinct groups with their seeded hash, materialised once (reliable
-    checkpoint in the session's checkpoint folder) so that the selection passes
-    below do not re-derive the row pipeline."""
-    g = df.select(key).distinct().withColumn("_h", seeded_hash(seed, key))
-    return g.checkpoint(eager=True)
+def labelled_keys(members: DataFrame, proteins: DataFrame, min_n: int = 2) -> DataFrame:
+    """J1 + F2 + G2 without payload: (group_name, protein_id) of members with a sequence, in groups
+    of at least ``min_n``.  Checkpointed once: the filters, splits and codes that follow work on
+    this narrow table, and sequences are attached last (``with_sequences``)."""
+    have = proteins.where(F.col("sequence").isNotNull()).select(F.col("id").alias("protein_id"))
+    keys = cut(members.join(have, "protein_id").select("group_name", "protein_id"))
+    return drop_small_groups(keys, "group_name", min_n)
+
+
+def with_sequences(keys: DataFrame, proteins: DataFrame, *columns: str) -> DataFrame:
+    """Keys with payload columns of their proteins (``description``, ``sequence``)."""
+    p = proteins.where(F.col("sequence").isNotNull()).select(F.col("id").alias("protein_id"), *columns)
+    return keys.join(p, "protein_id")
+
+
+def group_table(df: DataFrame, key: str, seed) -> DataFrame:
+    """Distinct groups with their seeded hash, one narrow row each, checkpointed."""
+    return cut(df.select(key).distinct().withColumn("_h", seeded_hash(seed, key)))
 
 
 def group_split(df: DataFrame, key: str, fraction: float, seed=42, flag: str = "is_test") -> DataFrame:
     """L1: choose ceil(fraction * n_groups) groups (seeded hash order); rows
     follow their group.  Adds boolean ``flag``."""
-    g = _group_table(df, key, seed)
-    k = _ceil(fraction * g.count())
-    chosen = flag_smallest(g, [], "_h", F.lit(k), [key], flag=flag).select(key, flag)
+    g = group_table(df, key, seed)
+    chosen = flag_smallest(g, [], "_h", _ceil(fraction * g.count()), [key], flag=flag).select(key, flag)
     return df.join(chosen, key)
 
 
@@ -82,18 +107,19 @@ def three_way_split(df: DataFrame, key: str, fraction: float = 0.15, seed=42) ->
     """L2: test = group split of all groups, val = group split of the rest,
     same fraction and seed; adds ``split`` in {train, val, test}.
 
-    The assignment is computed on the group table (one row per group) and
-    joined back to the rows once.
+    Both choices are filters on hash thresholds over the group table; rows follow by one join.
+    A row with ``force_test`` (``resolve_multi_group``) goes to test whatever its group (U3).
     """
-    g = _group_table(df, key, seed)
-    n = g.count()
-    a = flag_smallest(g, [], "_h", F.lit(_ceil(fraction * n)), [key], flag="_t").checkpoint(eager=True)
-    rest = a.where(~F.col("_t"))
-    n_rest = rest.count()
-    b = flag_smallest(rest.drop("_t"), [], "_h", F.lit(_ceil(fraction * n_rest)), [key], flag="_v")
+    g = group_table(df, key, seed)
+    a = flag_smallest(g, [], "_h", _ceil(fraction * g.count()), [key], flag="_t")
+    rest = a.where(~F.col("_t")).drop("_t")
+    b = flag_smallest(rest, [], "_h", _ceil(fraction * rest.count()), [key], flag="_v")
     assign = (a.where(F.col("_t")).select(key, F.lit("test").alias("split"))
                .unionByName(b.select(key, F.when(F.col("_v"), "val").otherwise("train").alias("split"))))
-    return df.join(assign, key)
+    out = df.join(cut(assign), key)
+    if "force_test" in df.columns:
+        out = out.withColumn("split", F.when(F.col("force_test"), "test").otherwise(F.col("split")))
+    return out
 
 
 def assert_disjoint(df: DataFrame, cols=("group_name", "protein_id"), split: str = "split",
@@ -110,6 +136,15 @@ def assert_disjoint(df: DataFrame, cols=("group_name", "protein_id"), split: str
     return out.distinct()
 
 
+def label_codes(df: DataFrame, label: str, out: str = "label_code") -> DataFrame:
+    """Sorted distinct labels -> 0..k-1.  Labels are ranked by range partitions and the
+    partitions' offsets, so the label table may be as long as the data."""
+    from seqmill.operators.stats import value_ranks
+
+    d = df.select(label).where(F.col(label).isNotNull()).distinct()
+    return value_ranks(d, label).select(label, F.col("before").cast("int").alias(out))
+
+
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.1, seed=1) -> DataFrame:
     """L3: per-label exact test counts; total = ceil(fraction * n).
 
@@ -118,21 +153,22 @@ def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.1,
     Labels with a single row stay in train.  Inside a label the test rows are
     the smallest seeded hashes of ``key``.  Adds ``split`` in {train, test}.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nl")).checkpoint(eager=True)
-    n = counts.agg(F.sum("_nl")).first()[0] or 0
+    counts = cut(df.groupBy(label).agg(F.count(F.lit(1)).alias("_nl")))
+    n = int(counts.agg(F.sum("_nl")).first()[0] or 0)
+    if not n:
+        return df.withColumn("split", F.lit("train"))
     n_test = _ceil(fraction * n)
-    c = counts.withColumn("_q", F.lit(n_test) * F.col("_nl") / F.lit(n))
-    c = c.withColumn("_base", F.floor("_q").cast("long")).withColumn("_frac", F.col("_q") - F.col("_base"))
-    c = c.withColumn("_lh", seeded_hash(seed, label))
-    c = c.withColumn("_eligible", F.col("_nl") > 1)
-    c = c.withColumn("_base", F.when(F.col("_eligible"), F.col("_base")).otherwise(F.lit(0)))
-    rem = n_test - (c.agg(F.sum("_base")).first()[0] or 0)
-    # rank labels by remainder (descending) with a distributed k-smallest on -frac
-    c = c.withColumn("_ord", F.when(F.col("_eligible") & (F.col("_base") < F.col("_nl")), -F.col("_frac")))
-    top = flag_smallest(c.where(F.col("_ord").isNotNull()), [], "_ord", F.lit(max(rem, 0)), ["_lh", label],
-                        flag="_extra").select(label, "_extra")
-    c = c.join(top, label, "left").select(
-        label, (F.col("_base") + F.when(F.col("_extra"), 1).otherwise(0)).alias("_kt"))
+    share = F.lit(n_test) * F.col("_nl")
+    c = counts.withColumn("_base", F.when(F.col("_nl") > 1, F.floor(share / n)).otherwise(0).cast("long"))
+    rem = n_test - int(c.agg(F.sum("_base")).first()[0] or 0)
+    # order key of a label: its remainder (largest first), then its hash, in one 60-bit number
+    bits = n.bit_length()
+    order = F.shiftleft(F.lit(n - 1) - share % n, HASH_BITS - bits).bitwiseOR(
+        F.shiftright(seeded_hash(seed, label), bits))
+    open_ = c.where((F.col("_nl") > 1) & (F.col("_base") < F.col("_nl"))).withColumn("_ord", order)
+    top = flag_smallest(open_, [], "_ord", max(rem, 0), [label], flag="_extra").where("_extra").select(label, "_extra")
+    c = cut(c.join(top, label, "left").select(
+        label, (F.col("_base") + F.when(F.col("_extra"), 1).otherwise(0)).alias("_kt")))
     x = df.join(c, label).withColumn("_h", seeded_hash(seed, key))
     x = flag_smallest(x, [label], "_h", F.col("_kt"), [key], flag="_test")
     return x.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test", "_kt", "_h")

@@ -12,125 +12,140 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqmill.session import cut
 
-def _prefix_partitions(d: DataFrame, col: str, n_parts: int) -> DataFrame:
-    """(value, cnt, _pid, _local_before) with values sorted across partitions."""
-    r = d.repartitionByRange(n_parts, col).sortWithinPartitions(col)
+
+def _prefix_partitions(d: DataFrame, cols: list[str], n_parts: int) -> DataFrame:
+    """(values, cnt, _pid, _local_before) with values sorted across partitions."""
+    r = d.repartitionByRange(n_parts, *cols).sortWithinPartitions(*cols)
 
     def local_cumsum(it):
         from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        run = 0
-        for pdf in it:
-            c = pdf["cnt"].to_numpy(dtype=np.int64)
+        pid, run = TaskContext.get().partitionId(), 0
+        for b in it:
+            c = b.column("cnt").to_numpy()
             before = run + np.cumsum(c) - c
             run += int(c.sum())
-            yield pdf.assign(_pid=np.int32(pid), _local_before=before)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(np.full(len(c), pid, np.int32)), pa.array(before.astype(np.int64))],
+                names=[*b.schema.names, "_pid", "_local_before"])
 
     schema = T.StructType(r.schema.fields + [T.StructField("_pid", T.IntegerType()),
                                              T.StructField("_local_before", T.LongType())])
-    return r.mapInPandas(local_cumsum, schema)
-
-
-def value_ranks(df: DataFrame, col: str, group: list[str] | None = None, n_parts: int | None = None) -> DataFrame:
-    """Distinct values of ``col`` with (cnt, before): ``before`` rows are
-    strictly smaller.  Average tie rank = before + (cnt + 1) / 2."""
-    d = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("cnt"))
-    spark = df.sparkSession
-    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    loc = _prefix_partitions(d, col, n_parts).persist()
-    totals = loc.groupBy("_pid").agg(F.sum("cnt").alias("_t")).collect()  # one row per partition
-    offs, run = {}, 0
-    for pid, tot in sorted((int(r["_pid"]), int(r["_t"])) for r in totals):
-        offs[pid] = run
-        run += tot
-    omap = F.create_map(*[x for k, v in offs.items() for x in (F.lit(k), F.lit(v))]) if offs else None
-    off = F.element_at(omap, F.col("_pid")) if omap is not None else F.lit(0)
-    return loc.select(col, "cnt", (off + F.col("_local_before")).cast("long").alias("before"))
-
-
-def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    vr = value_ranks(df, col)
-    return df.join(vr.select(col, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out)), col, "left")
+    return r.mapInArrow(local_cumsum, schema)
+
+
+def value_ranks(df: DataFrame, cols, count: str | None = None, n_parts: int | None = None) -> DataFrame:
+    """Distinct values of the column (or columns) with (cnt, before): ``before`` rows are
+    strictly smaller.  Average tie rank = before + (cnt + 1) / 2.  ``count`` names a
+    column with how often a row counts.  Offsets of the range partitions come
+    by a join with a table of one row a partition."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    d = df.dropna(subset=cols).groupBy(*cols).agg(
+        (F.sum(count) if count else F.count(F.lit(1))).cast("long").alias("cnt"))
+    n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    loc = cut(_prefix_partitions(d, cols, n_parts))
+    totals = loc.groupBy("_pid").agg(F.sum("cnt").alias("_t"))
+    before = F.sum("_t").over(Window.orderBy("_pid")) - F.col("_t")
+    off = totals.select(F.col("_pid").alias("_p"), before.alias("_off"))
+    return loc.join(F.broadcast(off), F.col("_pid") == F.col("_p")).select(
+        *cols, "cnt", (F.col("_off") + F.col("_local_before")).cast("long").alias("before"))
 
 
 def spearman(df: DataFrame, x: str, y: str, digits: int = 6) -> DataFrame:
-    """Spearman correlation = Pearson of average-tie ranks (one row)."""
-    base = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = value_ranks(base, x).select(x, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("_rx"))
-    ry = value_ranks(base, y).select(y, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("_ry"))
-    r = base.join(rx, x).join(ry, y)
-    return r.agg(F.round(F.corr("_rx", "_ry"), digits).alias("spearman"),
-                 F.count(F.lit(1)).alias("n"))
-
+    """Spearman correlation = Pearson of average-tie ranks (one row).
 
-def quantiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), digits: int = 6) -> DataFrame:
-    """Exact quantiles with linear interpolation (numpy 'linear').
-
-    Ranks come from ``value_ranks``; the values at the needed order positions
-    are found by filtering the distinct-value table with literal bounds.
+    Rows are counted by (x, y) first; both margins are ranked from that table and
+    the correlation is weighted by the counts, so a value that very many rows share
+    is one row of each join.
+    """
+    pairs = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
+        F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w")))
+    ranks = []
+    for c in ("_x", "_y"):
+        r = value_ranks(pairs, c, "_w")
+        ranks.append(r.select(c, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("_r" + c)))
+    r = pairs.join(ranks[0], "_x").join(ranks[1], "_y").select("_w", F.col("_r_x").alias("a"), F.col("_r_y").alias("b"))
+    w = F.col("_w").cast("double")
+    s = r.agg(F.sum("_w").alias("n"), *[F.sum(w * v).alias(k) for k, v in (
+        ("a", F.col("a")), ("b", F.col("b")), ("aa", F.col("a") * F.col("a")), ("bb", F.col("b") * F.col("b")),
+        ("ab", F.col("a") * F.col("b")))])
+    va = F.col("aa") - F.col("a") * F.col("a") / F.col("n")
+    vb = F.col("bb") - F.col("b") * F.col("b") / F.col("n")
+    cov = F.col("ab") - F.col("a") * F.col("b") / F.col("n")
+    return s.select(F.round(F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)), digits).alias("spearman"),
+                    F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def _finite(df: DataFrame, col: str):
+    """The column as double, with null and NaN left out."""
+    x = df.select(F.col(col).cast("double").alias("_x"))
+    return x.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+
+
+def quantiles(df: DataFrame, cols, probs=(0.25, 0.5, 0.75), digits: int = 6) -> DataFrame:
+    """Exact quantiles with linear interpolation (numpy 'linear'), all columns in one pass.
+
+    Spark's exact ``percentile`` keeps counts of distinct values in an aggregation
+    buffer; here values are counted by (column, value) first and the order
+    statistics found by running counts over range partitions, so memory does not
+    grow with the distinct values.  An empty column gives no rows.
     """
-    base = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_x"))
-    n = base.count()
-    if n == 0:
-        return df.sparkSession.createDataFrame([], "column string, prob double, value double")
-    vr = value_ranks(base, "_x")
-    ks = sorted({int(math.floor(p * (n - 1))) for p in probs} | {int(math.ceil(p * (n - 1))) for p in probs})
-    cond = None
-    for k in ks:
-        c = (F.col("before") <= k) & (F.col("before") + F.col("cnt") > k)
-        cond = c if cond is None else (cond | c)
-    hits = vr.where(cond).select("_x", "before", "cnt").collect()  # at most len(ks) rows
-
-    def at(k):
-        for r in hits:
-            if r["before"] <= k < r["before"] + r["cnt"]:
-                return float(r["_x"])
-        raise RuntimeError("order statistic not found")
-
-    rows = []
-    for p in probs:
-        h = p * (n - 1)
-        lo, hi = int(math.floor(h)), int(math.ceil(h))
-        v = at(lo) + (h - lo) * (at(hi) - at(lo))
-        rows.append((col, float(p), round(v, digits)))
-    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x"))
+                                         for c in cols])).alias("_s")).select("_s.*")
+    long = long.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    # one order over (column, value): a column's rows follow each other
+    per = value_ranks(long, ["column", "_x"])
+    base = per.groupBy(F.col("column").alias("_c")).agg(F.min("before").alias("_b0"), F.sum("cnt").alias("_n"))
+    per = per.join(F.broadcast(base), F.col("column") == F.col("_c"))  # a row for each asked column
+    per = per.withColumn("_k", F.col("before") - F.col("_b0"))
+    p = per.select("*", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob"))
+    h = F.col("prob") * (F.col("_n") - 1)
+    lo, hi = F.floor(h), F.ceil(h)
+    has = lambda at: (F.col("_k") <= at) & (F.col("_k") + F.col("cnt") > at)
+    got = p.where(has(lo) | has(hi)).groupBy("column", "prob").agg(
+        F.max(F.when(has(lo), F.col("_x"))).alias("_lo"), F.max(F.when(has(hi), F.col("_x"))).alias("_hi"),
+        F.max(h - lo).alias("_f"))
+    return got.select("column", "prob", F.round(F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo")), digits).alias("value"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
-    """Equal-width histogram between min and max (max in the last bin)."""
-    st = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-    x = df.where(F.col(col).isNotNull())
-    mn, mx = st.first()
-    width = (float(mx) - float(mn)) / bins if mx != mn else 1.0
-    b = F.least(F.floor((F.col(col).cast("double") - F.lit(float(mn))) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    """Equal-width histogram between min and max (max in the last bin); null and NaN are left out
+    and an empty column has no bins."""
+    x = _finite(df, col)
+    mn, mx = x.agg(F.min("_x"), F.max("_x")).first()
+    mn, mx = (0.0, 0.0) if mn is None else (float(mn), float(mx))
+    width = (mx - mn) / bins if mx != mn else 1.0
+    b = F.least(F.floor((F.col("_x") - F.lit(mn)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     return (x.select(b.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
              .select(F.lit(col).alias("column"), "bucket",
-                     F.round(F.lit(float(mn)) + F.col("bucket") * F.lit(width), 6).alias("lower"), "n"))
+                     F.round(F.lit(mn) + F.col("bucket") * F.lit(width), 6).alias("lower"), "n"))
 
 
-def kde_grid(df: DataFrame, col: str, bw_adjust: float = 2.0, gridsize: int = 200, cut: float = 3.0,
+def kde_grid(df: DataFrame, col: str, bw_adjust: float = 2.0, gridsize: int = 200, margin: float = 3.0,
              digits: int = 6) -> DataFrame:
     """Gaussian KDE on a regular grid (Scott bandwidth times bw_adjust,
-    grid from min - cut*h to max + cut*h).
+    grid from min - margin*h to max + margin*h).
 
     The data is pre-aggregated to distinct values with counts, and each
     distinct value emits its contribution to every grid point (generate, not a
-    join), so the work is distinct_values x gridsize.
+    join), so the work is distinct_values x gridsize.  Null and NaN are left out; fewer than two
+    values or equal ones have no bandwidth and no curve.
     """
-    base = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_x"))
+    base = _finite(df, col)
     st = base.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("sd"),
                   F.min("_x").alias("mn"), F.max("_x").alias("mx")).first()
-    n, sd, mn, mx = int(st["n"]), float(st["sd"] or 0.0), float(st["mn"]), float(st["mx"])
-    h = bw_adjust * sd * n ** (-1.0 / 5.0)
-    if h <= 0:
-        raise ValueError("zero bandwidth (constant column)")
-    lo, hi = mn - cut * h, mx + cut * h
+    n, sd = int(st["n"]), float(st["sd"] or 0.0)
+    h = bw_adjust * sd * n ** (-1.0 / 5.0) if n else 0.0
+    if not h > 0:
+        return df.sparkSession.createDataFrame([], "column string, gi int, x double, density double")
+    lo, hi = float(st["mn"]) - margin * h, float(st["mx"]) + margin * h
     step = (hi - lo) / (gridsize - 1)
     d = base.groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
     g = d.select("_x", "_c", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("gi"))
@@ -152,5 +167,5 @@ def accuracy(df: DataFrame, pred: str, label: str, digits: int = 6) -> DataFrame
 
 
 def profile(df: DataFrame, key: str) -> DataFrame:
-    """Row count, distinct keys, and an approximate distinct count."""
+    """Row count and distinct keys."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_keys"))

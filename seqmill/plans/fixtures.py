@@ -5,7 +5,8 @@ both must stay in step.  Every view uses whole tables and whole texts; the rules
 that create edge cases (duplicate members, a protein in two groups, a model with
 missing vectors) add or remove rows by data attributes, never by id ranges.
 
-  fx_seq          seq_id, doc_id, grp, lang, seq_str   (all ASCII letters, upper)
+  fx_seq          seq_id, doc_id, grp, lang, seq_str   (all letters, upper case; letters
+                                                        beyond A-Z are the unknown residue X)
   fx_members_raw  group_name, protein_ids              (comma list per group/year)
   fx_proteins     id, description, sequence            (one per order)
   fx_msa          align_id, seq_id, seq_ord, seq_str   (gap '-' before every E,
@@ -24,8 +25,6 @@ from seqmill.sources.tables import Tables
 
 # fixed values of the fixture contract
 MODELS = ("pt", "cls", "mlm", "cont")
-MIN_SEQ_LETTERS = 60
-ALIGN_ID_SPAN = 1000          # documents per alignment family: doc_id div 1000
 MISSING_MODEL = "cont"        # this model has no vectors for one source ...
 MISSING_SOURCE = "src7"       # ... namely this one (missing-vector case)
 DUP_STATUS = "P"              # orders with this status are listed twice (dedupe case)
@@ -34,14 +33,13 @@ MULTI_PRIORITY = "1-URGENT"   # orders with this priority also join group custke
 
 def fx_seq(t: Tables) -> DataFrame:
     d = t("documents").select("doc_id", "source", "lang", "text")
-    s = d.select(
+    return d.select(
         F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("seq_id"),
         "doc_id",
         F.col("source").alias("grp"),
         "lang",
         letters_upper("text").alias("seq_str"),
     )
-    return s.where(F.length("seq_str") >= MIN_SEQ_LETTERS)
 
 
 def _member_rows(t: Tables) -> DataFrame:
@@ -71,23 +69,25 @@ def fx_members_raw(t: Tables) -> DataFrame:
 
 
 def fx_proteins(t: Tables) -> DataFrame:
-    """One protein per order; sequence of document ``o_orderkey mod n_docs``.
+    """One protein per order; sequence of document ``o_orderkey mod (n_docs + 1)``.
 
-    Orders whose document has too few letters get a NULL sequence.
+    There is no document ``n_docs``, and a text without letters has no residues:
+    those orders get a NULL sequence.
     """
     n_docs = t("documents").count()  # parquet footer count
     o = t("orders").select("o_orderkey", "o_orderpriority")
-    s = fx_seq(t).select("doc_id", F.col("seq_str").alias("sequence"))
+    s = fx_seq(t).select("doc_id", F.nullif("seq_str", F.lit("")).alias("sequence"))
     p = o.select(F.concat(F.lit("P."), F.col("o_orderkey").cast("string"), F.lit(".1")).alias("id"),
                  F.col("o_orderpriority").alias("description"),
-                 F.pmod(F.col("o_orderkey"), F.lit(n_docs)).alias("doc_id"))
+                 F.pmod(F.col("o_orderkey"), F.lit(n_docs + 1)).alias("doc_id"))
     return p.join(s, "doc_id", "left").select("id", "description", "sequence")
 
 
 def fx_msa(t: Tables) -> DataFrame:
-    s = fx_seq(t)
+    """One alignment family for each (source, language); a family grows with the data."""
+    s = fx_seq(t).where("seq_str <> ''")
     g = s.select(
-        F.concat_ws("/", "grp", "lang", F.floor(F.col("doc_id") / ALIGN_ID_SPAN).cast("string")).alias("align_id"),
+        F.concat_ws("/", "grp", "lang").alias("align_id"),
         "seq_id", F.col("doc_id").alias("seq_ord"),
         F.replace(F.col("seq_str"), F.lit("E"), F.lit("-E")).alias("gapped"))
     w = g.groupBy("align_id").agg(F.max(F.length("gapped")).alias("width"))
@@ -103,7 +103,7 @@ def n_vectors(t: Tables) -> int:
 def fx_residues(t: Tables) -> DataFrame:
     """(seq_id, grp, pos, aa) for every residue of every sequence."""
     s = fx_seq(t)
-    return s.select("seq_id", "grp", F.posexplode(F.split("seq_str", "")).alias("pos", "aa"))
+    return s.where("seq_str <> ''").select("seq_id", "grp", F.posexplode(F.split("seq_str", "")).alias("pos", "aa"))
 
 
 def fx_residue_vec(t: Tables) -> DataFrame:

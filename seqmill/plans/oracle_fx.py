@@ -9,9 +9,8 @@ from __future__ import annotations
 _FX: dict[str, tuple[list[str], str]] = {
     "fx_seq": ([], """
         SELECT 'S' || CAST(doc_id AS VARCHAR) AS seq_id, doc_id, source AS grp, lang,
-               upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq_str
-        FROM documents
-        WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 60"""),
+               upper(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\p{L}]', '', 'g'), '[^A-Za-z]', 'X', 'g')) AS seq_str
+        FROM documents"""),
     "fx_member_rows": ([], """
         SELECT group_name, yr, protein_id FROM (
           SELECT 'G' || CAST(o_custkey AS VARCHAR) AS group_name, year(o_orderdate) AS yr,
@@ -62,13 +61,13 @@ _FX: dict[str, tuple[list[str], str]] = {
         FROM fx_single s JOIN fx_split_t t USING (group_name) LEFT JOIN fx_split_v v USING (group_name)"""),
     "fx_proteins": (["fx_seq"], """
         SELECT 'P.' || CAST(o.o_orderkey AS VARCHAR) || '.1' AS id, o.o_orderpriority AS description,
-               s.seq_str AS sequence
+               nullif(s.seq_str, '') AS sequence
         FROM orders o LEFT JOIN fx_seq s
-          ON s.doc_id = o.o_orderkey % (SELECT count(*) FROM documents)"""),
+          ON s.doc_id = o.o_orderkey % (SELECT count(*) + 1 FROM documents)"""),
     "fx_msa_g": (["fx_seq"], """
-        SELECT grp || '/' || lang || '/' || CAST(doc_id // 1000 AS VARCHAR) AS align_id,
+        SELECT grp || '/' || lang AS align_id,
                seq_id, doc_id AS seq_ord, replace(seq_str, 'E', '-E') AS gapped
-        FROM fx_seq"""),
+        FROM fx_seq WHERE seq_str <> ''"""),
     "fx_msa": (["fx_msa_g"], """
         SELECT g.align_id, g.seq_id, g.seq_ord, rpad(g.gapped, CAST(w.width AS INTEGER), '-') AS seq_str
         FROM fx_msa_g g JOIN (SELECT align_id, max(length(gapped)) AS width FROM fx_msa_g GROUP BY align_id) w

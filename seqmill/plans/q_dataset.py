@@ -1,26 +1,23 @@
-"""Dataset-build and classifier-prep queries (S2-S5 data path, G1-G4, J1, J7,
-L1-L8, F1, F8, X1-X4, W3-W5)."""
+"""Dataset-build and classifier-prep queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqmill.functions import encode as E
 from seqmill.functions import strings as S
-from seqmill.functions import vector as V
 from seqmill.operators import prep as P
 from seqmill.operators import sampling as SM
 from seqmill.plans import fixtures as FX
 from seqmill.plans.oracle_fx import with_fx
 from seqmill.plans.registry import query
+from seqmill.session import cut
 from seqmill.sources.tables import Tables
 
 
 def labelled(t: Tables):
-    members = P.explode_members(FX.fx_members_raw(t))
-    rows = P.attach_sequences(members, FX.fx_proteins(t))
-    return P.drop_small_groups(rows, "group_name", 2)
+    """Keys only; payload is attached last."""
+    return P.labelled_keys(P.explode_members(FX.fx_members_raw(t)), FX.fx_proteins(t))
 
 
 def split_rows(t: Tables):
@@ -38,7 +35,8 @@ SELECT group_name, protein_id, description, CAST(length(sequence) AS INT) AS seq
 FROM fx_labelled"""))
 def labelled_sequences(spark, sf_dir):
     """J1 + F2 + G2: memberships joined to sequences, singleton groups dropped."""
-    r = labelled(Tables(spark, sf_dir))
+    t = Tables(spark, sf_dir)
+    r = P.with_sequences(labelled(t), FX.fx_proteins(t), "description", "sequence")
     return r.select("group_name", "protein_id", "description",
                     F.length("sequence").alias("seq_len"), F.md5("sequence").alias("seq_md5"))
 
@@ -67,7 +65,8 @@ SELECT split, count(DISTINCT group_name) AS n_groups, count(*) AS n_rows,
 FROM fx_split GROUP BY split"""))
 def split_summary(spark, sf_dir):
     """Profile of each split (groups, rows, proteins, residues)."""
-    s = split_rows(Tables(spark, sf_dir))
+    t = Tables(spark, sf_dir)
+    s = P.with_sequences(split_rows(t), FX.fx_proteins(t), "sequence")
     return s.groupBy("split").agg(F.countDistinct("group_name").alias("n_groups"),
                                   F.count(F.lit(1)).alias("n_rows"),
                                   F.countDistinct("protein_id").alias("n_proteins"),
@@ -106,20 +105,11 @@ st AS (SELECT cf.*, row_number() OVER (PARTITION BY cf.labels ORDER BY md5('1:'
        FROM cf JOIN kt USING (labels))"""
 
 
-def classifier_frame(t: Tables):
-    lab = labelled(t)
-    cf = lab.select(F.col("group_name").alias("labels"),
-                    S.strip_prefix("protein_id").alias("protein_id"),
-                    F.col("sequence").alias("protein_seq"))
-    cf = P.drop_small_groups(cf, "labels", 10)
-    codes = _label_codes(cf, "labels")
-    return cf.join(codes, "labels")
-
-
-def _label_codes(df, label):
-    """Sorted distinct labels -> 0..k-1 (window over the label table only)."""
-    d = df.select(label).distinct()
-    return d.select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("int").alias("label_code"))
+def classifier_keys(t: Tables):
+    """G4, F6, W4 on the key table: labels with at least 10 rows, and their codes."""
+    cf = P.drop_small_groups(labelled(t).withColumnRenamed("group_name", "labels"), "labels", 10)
+    cf = cut(cf)
+    return cf.join(P.label_codes(cf, "labels"), "labels")
 
 
 @query("classifier_frame", with_fx(["fx_labelled"], f"""
@@ -130,9 +120,12 @@ FROM st JOIN codes USING (labels)"""))
 def classifier_frame_q(spark, sf_dir):
     """Classifier frame with label codes and a 10 %
     stratified split (seed 1)."""
-    cf = classifier_frame(Tables(spark, sf_dir))
-    s = P.stratified_split(cf, "labels", "protein_id", 0.1, 1)
-    return s.select("labels", "protein_id", "label_code", "split", F.length("protein_seq").alias("seq_len"))
+    t = Tables(spark, sf_dir)
+    keys = classifier_keys(t).withColumn("_id", S.strip_prefix("protein_id"))
+    s = P.stratified_split(keys, "labels", "_id", 0.1, 1)
+    s = P.with_sequences(s, FX.fx_proteins(t), "sequence")
+    return s.select("labels", F.col("_id").alias("protein_id"), "label_code", "split",
+                    F.length("sequence").alias("seq_len"))
 
 
 _VOCAB_SQL = ", ".join(f"('{c}', {4 + i})" for i, c in enumerate(E.DEFAULT_RESIDUES))
@@ -144,19 +137,18 @@ cf0 AS (SELECT array_to_string(string_split(protein_id, '.')[2:], '.') AS protei
                translate(sequence, 'UZOB-', 'XXXXX') AS s, group_name FROM fx_labelled),
 cf AS (SELECT * FROM cf0 WHERE group_name IN (SELECT group_name FROM cf0 GROUP BY 1 HAVING count(*) >= 10)),
 tk AS (SELECT cf.group_name, cf.protein_id, r.pos, coalesce(voc.id, 3) AS tid
-       FROM cf, unnest(range(least(length(cf.s), 1022))) AS r(pos)
+       FROM cf, unnest(range(length(cf.s))) AS r(pos)
        LEFT JOIN voc ON voc.tok = substr(cf.s, r.pos + 1, 1))
 SELECT group_name, protein_id, CAST(count(*) + 2 AS INT) AS n_tokens,
-       md5('0,' || string_agg(CAST(tid AS VARCHAR), ',' ORDER BY pos) || ',2' || repeat(',1', 1022 - count(*)))
-         AS ids_md5
+       md5('0,' || string_agg(CAST(tid AS VARCHAR), ',' ORDER BY pos) || ',2') AS ids_md5
 FROM tk GROUP BY group_name, protein_id"""))
 def encoded_sequences(spark, sf_dir):
-    """X2 + X4: residue normalisation, token ids with cls/eos, pad to 1024;
+    """X2 + X4: residue normalisation and token ids of whole sequences with cls/eos;
     reported as (token count, md5 of the comma-joined ids)."""
     t = Tables(spark, sf_dir)
-    lab = P.drop_small_groups(labelled(t), "group_name", 10)
+    lab = P.with_sequences(P.drop_small_groups(labelled(t), "group_name", 10), FX.fx_proteins(t), "sequence")
     vmap = E.vocab_map(E.default_vocab(spark))
-    ids, mask = E.encode_sequence(S.normalize_residues("sequence"), vmap, 1024, True)
+    ids, mask, _ = E.encode_sequence(S.normalize_residues("sequence"), vmap)
     x = lab.select("group_name", S.strip_prefix("protein_id").alias("protein_id"), ids.alias("input_ids"),
                    mask.alias("attention_mask"))
     return x.select("group_name", "protein_id",
@@ -164,19 +156,29 @@ def encoded_sequences(spark, sf_dir):
                     F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 
 
+@query("encoded_padded", with_fx(["fx_labelled"], """
+SELECT group_name, protein_id, CAST(least(length(sequence), 1022) + 2 AS INT) AS n_tokens, 1024 AS n_ids,
+       CAST(greatest(length(sequence) - 1022, 0) AS INT) AS n_dropped FROM fx_labelled"""))
+def encoded_padded(spark, sf_dir):
+    """X4 with a length: ids padded to 1024, and how many residues did not fit."""
+    t = Tables(spark, sf_dir)
+    lab = P.with_sequences(labelled(t), FX.fx_proteins(t), "sequence")
+    ids, mask, dropped = E.encode_sequence("sequence", E.vocab_map(E.default_vocab(spark)), 1024)
+    return lab.select("group_name", "protein_id", F.aggregate(mask, F.lit(0), lambda a, b: a + b).alias("n_tokens"),
+                      F.size(ids).alias("n_ids"), dropped.alias("n_dropped"))
+
+
 @query("label_one_hot", with_fx(["fx_labelled"], f"""
 WITH {_CLS.strip()}
-SELECT labels, label_code,
-       repeat('0,', label_code) || '1' || repeat(',0', (SELECT count(*) FROM codes) - 1 - label_code) AS one_hot
+SELECT labels, label_code, CAST((SELECT count(*) FROM codes) AS INT) AS size, [label_code] AS indices, [1.0::DOUBLE] AS "values"
 FROM codes"""))
 def label_one_hot(spark, sf_dir):
-    """W5 + L7: label map with one-hot vectors (as text)."""
-    cf = classifier_frame(Tables(spark, sf_dir))
-    codes = cf.select("labels", "label_code").distinct()
+    """W5 + L7: label map with one-hot vectors in sparse form (size, indices, values), as labels
+    grow with the data."""
+    codes = cut(classifier_keys(Tables(spark, sf_dir)).select("labels", "label_code").distinct())
     k = codes.count()
-    oh = V.one_hot("label_code", k)
-    return codes.select("labels", "label_code",
-                        F.array_join(F.transform(oh, lambda x: x.cast("int").cast("string")), ",").alias("one_hot"))
+    return codes.select("labels", "label_code", F.lit(k).alias("size"), F.array("label_code").alias("indices"),
+                        F.array(F.lit(1.0)).alias("values"))
 
 
 @query("spaced_sequences", with_fx(["fx_labelled"], """
@@ -185,7 +187,8 @@ SELECT protein_id, md5(array_to_string(string_split(translate(sequence, 'UZOB-',
 FROM fx_labelled"""))
 def spaced_sequences(spark, sf_dir):
     """X2 + X3: normalised, space-separated residues (T5-style input)."""
-    lab = labelled(Tables(spark, sf_dir))
+    t = Tables(spark, sf_dir)
+    lab = P.with_sequences(labelled(t), FX.fx_proteins(t), "sequence")
     sp = S.space_out(S.normalize_residues("sequence"))
     return lab.select("protein_id", F.md5(sp).alias("spaced_md5"), F.length(sp).alias("spaced_len"))
 
@@ -221,7 +224,85 @@ WHERE rn <= (SELECT count(*) - CAST(floor(count(*) * (1 - 0.25)) AS BIGINT) FROM
 def sampled_rows(spark, sf_dir):
     """Keep a 25 % row fraction (drop int(n*0.75) rows by seeded hash)."""
     lab = labelled(Tables(spark, sf_dir)).select("protein_id", "group_name")
-    n = lab.count()
-    keep = n - int(n * (1 - 0.25))
-    h = lab.withColumn("_h", SM.seeded_hash(3, "protein_id", "group_name"))
-    return SM.take_smallest(h, [], "_h", keep, ["protein_id", "group_name"]).drop("_h")
+    return SM.sample_fraction(lab, ["protein_id", "group_name"], 0.25, seed=3)
+
+
+@query("shuffled_rows", with_fx(["fx_labelled"], """
+SELECT protein_id, group_name, CAST(row_number() OVER (
+         ORDER BY md5('11:' || protein_id || ':' || group_name), protein_id, group_name) - 1 AS BIGINT) AS position
+FROM fx_labelled"""))
+def shuffled_rows(spark, sf_dir):
+    """Every row with its place in a seeded random order."""
+    lab = labelled(Tables(spark, sf_dir)).select("protein_id", "group_name")
+    return SM.shuffled(lab, ["protein_id", "group_name"], seed=11)
+
+
+@query("first_rows", with_fx(["fx_labelled"], """
+SELECT protein_id, group_name FROM fx_labelled ORDER BY protein_id, group_name LIMIT 100"""))
+def first_rows(spark, sf_dir):
+    """F8: the first 100 rows in an explicit order (the limit is the feature)."""
+    return SM.limit_rows(labelled(Tables(spark, sf_dir)).select("protein_id", "group_name"), 100,
+                         ["protein_id", "group_name"])
+
+
+@query("split_to_test", with_fx(["fx_labelled", "fx_single"], """
+WITH t AS (SELECT group_name, row_number() OVER (ORDER BY md5('42:' || group_name), group_name)
+                  <= (SELECT ceil(0.15 * count(DISTINCT group_name)) FROM fx_labelled) AS is_test
+           FROM (SELECT DISTINCT group_name FROM fx_labelled)),
+v AS (SELECT group_name, row_number() OVER (ORDER BY md5('42:' || group_name), group_name)
+             <= (SELECT ceil(0.15 * count(*)) FROM t WHERE NOT is_test) AS is_val FROM t WHERE NOT is_test)
+SELECT l.group_name, l.protein_id,
+       CASE WHEN t.is_test OR l.protein_id NOT IN (SELECT protein_id FROM fx_single) THEN 'test'
+            WHEN v.is_val THEN 'val' ELSE 'train' END AS split
+FROM fx_labelled l JOIN t USING (group_name) LEFT JOIN v USING (group_name)"""))
+def split_to_test(spark, sf_dir):
+    """G3 with mode to_test, L1, U3: proteins of several groups go to the test split."""
+    keys = P.resolve_multi_group(labelled(Tables(spark, sf_dir)), mode="to_test")
+    return P.three_way_split(keys, "group_name", 0.15, 42).select("group_name", "protein_id", "split")
+
+
+@query("leaking_split", with_fx(["fx_labelled"], """
+WITH s AS (SELECT group_name, protein_id, CASE WHEN md5('5:' || group_name) < '4' THEN 'test' ELSE 'train' END AS split
+           FROM fx_labelled)
+SELECT split, 'group_name' AS "column", group_name AS value FROM s
+WHERE split <> 'train' AND group_name IN (SELECT group_name FROM s WHERE split = 'train')
+UNION
+SELECT split, 'protein_id', protein_id FROM s
+WHERE split <> 'train' AND protein_id IN (SELECT protein_id FROM s WHERE split = 'train')"""))
+def leaking_split(spark, sf_dir):
+    """J7/U4/Q2 on a split that leaks: groups are kept apart, but proteins of several groups are not."""
+    keys = labelled(Tables(spark, sf_dir)).withColumn("split", F.when(
+        F.md5(F.concat(F.lit("5:"), "group_name")) < "4", "test").otherwise("train"))
+    return P.assert_disjoint(keys)
+
+
+@query("length_filtered", with_fx(["fx_labelled"], """
+SELECT group_name, protein_id, CAST(length(sequence) AS INT) AS seq_len FROM fx_labelled
+WHERE length(sequence) BETWEEN 500 AND 5000"""))
+def length_filtered(spark, sf_dir):
+    """sequences of 500 to 5000 residues."""
+    t = Tables(spark, sf_dir)
+    lab = P.with_sequences(labelled(t), FX.fx_proteins(t), "sequence")
+    return P.filter_length(lab, "sequence", 500, 5000).select("group_name", "protein_id", F.length("sequence").alias("seq_len"))
+
+
+@query("lm_targets", with_fx(["fx_labelled"], """
+SELECT group_name, protein_id, CAST(length(sequence) + 2 AS INT) AS n_tokens, CAST(length(sequence) + 1 AS INT) AS n_targets
+FROM fx_labelled"""))
+def lm_targets(spark, sf_dir):
+    """Next-token targets: ids shifted by one, the last place without a target (-100)."""
+    t = Tables(spark, sf_dir)
+    lab = P.with_sequences(labelled(t), FX.fx_proteins(t), "sequence")
+    ids, _, _ = E.encode_sequence("sequence", E.vocab_map(E.default_vocab(spark)))
+    x = lab.select("group_name", "protein_id", ids.alias("input_ids")).withColumn("labels", E.next_targets("input_ids"))
+    return x.select("group_name", "protein_id", F.size("input_ids").alias("n_tokens"),
+                    F.size(F.filter("labels", lambda v: v != -100)).alias("n_targets"))
+
+
+@query("duplicate_ids", """
+SELECT protein_id, count(*) AS n FROM (
+  SELECT 'P.' || CAST(l_orderkey AS VARCHAR) || '.1' AS protein_id FROM lineitem) GROUP BY protein_id HAVING count(*) > 1""")
+def duplicate_ids(spark, sf_dir):
+    """Q3: ids that a table has more than once."""
+    li = Tables(spark, sf_dir)("lineitem").select(F.concat(F.lit("P."), F.col("l_orderkey").cast("string"), F.lit(".1")).alias("protein_id"))
+    return P.duplicates(li, "protein_id")
