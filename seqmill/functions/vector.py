@@ -101,18 +101,31 @@ def _avg_ranks(x: np.ndarray) -> np.ndarray:
     return ranks
 
 
+def _rank_matrix(m: np.ndarray) -> np.ndarray:
+    """Average-tie ranks of every row of a matrix, centred and scaled to unit length (NaN: a constant row)."""
+    n, d = m.shape
+    order = np.argsort(m, axis=1, kind="stable")
+    x = np.take_along_axis(m, order, 1)
+    new = np.ones((n, d), bool)
+    new[:, 1:] = x[:, 1:] != x[:, :-1]
+    place = np.arange(d)
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    ends = np.concatenate([new[:, 1:], np.ones((n, 1), bool)], 1)
+    last = np.flip(np.minimum.accumulate(np.flip(np.where(ends, place, d), 1), axis=1), 1)
+    ranks = np.empty((n, d))
+    np.put_along_axis(ranks, order, (first + last) / 2.0 + 1.0, 1)
+    c = ranks - ranks.mean(1, keepdims=True)
+    norm = np.sqrt((c * c).sum(1, keepdims=True))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(norm > 0, c / norm, np.nan)
+
+
 def _centered_rank_unit_np(vec) -> list | None:
-    if vec is None:
-        return None
-    x = np.asarray(vec, dtype=np.float64)
-    if x.size == 0:
+    """One vector's ranks (see ``_rank_matrix``); None for a null, empty or constant vector."""
+    if vec is None or not len(vec):
         return None
-    r = _avg_ranks(x)
-    c = r - r.mean()
-    n = np.sqrt(np.dot(c, c))
-    if n == 0.0:
-        return None
-    return (c / n).tolist()
+    r = _rank_matrix(np.asarray(vec, dtype=np.float64)[None, :])[0]
+    return None if np.isnan(r[0]) else r.tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -120,10 +133,15 @@ def centered_rank_unit(v: pd.Series) -> pd.Series:
     """Average-tie ranks, centred and scaled to unit length.
 
     Spearman(a, b) == dot(centered_rank_unit(a), centered_rank_unit(b));
-    a constant vector gives NULL (Spearman undefined).
+    a constant vector gives NULL (Spearman undefined).  Vectors of one length are
+    ranked together as a matrix.
     """
-    return v.map(_centered_rank_unit_np)
-
-
-def spearman_from_units(ra, rb) -> Column:
-    return dot(ra, rb)
+    width = v.map(lambda x: 0 if x is None else len(x)).to_numpy()
+    out = np.empty(len(v), object)
+    values = v.to_numpy()
+    for w in np.unique(width[width > 0]):
+        at = np.flatnonzero(width == w)
+        ranks = _rank_matrix(np.stack([np.asarray(values[i], np.float64) for i in at]))
+        for i, r in zip(at, ranks):
+            out[i] = None if np.isnan(r[0]) else r
+    return pd.Series(out)

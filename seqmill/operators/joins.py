@@ -41,14 +41,3 @@ def broadcast_if_small(df: DataFrame, spark: SparkSession | None = None,
     """
     _, size = estimate_bytes(df)
     return F.broadcast(df) if size <= max_bytes else df
-
-
-def attach_by_keys(keys: DataFrame, store: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a payload-heavy store to a narrow key table.
-
-    The store is first reduced to the distinct keys actually needed (a left
-    semi join Catalyst can push below projections/generators of a derived
-    store), then joined, so payload columns never travel for unused keys.
-    """
-    needed = keys.select(*on).distinct()
-    return keys.join(store.join(needed, on, "left_semi"), on, how)

@@ -11,47 +11,72 @@ same holds for Spearman with centred, unit-scaled rank vectors.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmill.functions import vector as V
-
-
-def with_unit_and_ranks(df: DataFrame, vec: str = "vec") -> DataFrame:
-    return df.withColumn("_u", V.unit(vec)).withColumn("_r", V.centered_rank_unit(F.col(vec)))
+from seqmill.session import ship
+
+
+def vector_sums(rows: DataFrame, key: list[str], vec: str) -> DataFrame:
+    """(key, n, squares, total array) of a vector column: partial sums a batch, then a sum a key and place."""
+    ship(rows.sparkSession)
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*key).dtypes)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pdf = b.select(key).to_pandas()
+            group, first = pdf.groupby(key, sort=False, dropna=False).ngroup().to_numpy(), None
+            v = b.column(vec)
+            width = np.diff(v.offsets.to_numpy())
+            flat = v.flatten().to_numpy()
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                start = v.offsets.to_numpy()[at] - v.offsets.to_numpy()[0]
+                m = flat[start[:, None] + np.arange(w)[None, :]]
+                names, first, inv = np.unique(group[at], return_index=True, return_inverse=True)
+                total = np.zeros((len(names), w))
+                np.add.at(total, inv, m)
+                squares = np.bincount(inv, (m * m).sum(1), len(names))
+                n = np.bincount(inv, minlength=len(names))
+                idx = pa.array(at[first])
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(c).take(idx) for c in key], pa.array(n.astype(np.int64)), pa.array(squares),
+                     pa.ListArray.from_arrays(np.arange(len(names) + 1, dtype=np.int32) * w, pa.array(total.ravel()))],
+                    names=[*key, "n", "squares", "total"])
+
+    part = rows.select(*key, vec).mapInArrow(run, f"{kinds}, n long, squares double, total array<double>")
+    place = part.select(*key, F.posexplode("total").alias("i", "t")).groupBy(*key, "i").agg(F.sum("t").alias("t"))
+    whole = place.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("total"))
+    return part.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("squares").alias("squares")).join(whole, key)
 
 
 def group_cohesion(df: DataFrame, key, vec: str = "vec", digits: int = 6) -> DataFrame:
     """Per group: n_vectors, n_pairs, mean pairwise cosine and Spearman.
 
-    One pass: unit and rank vectors are computed once per row, exploded by
-    dimension and summed per (group, dim) with map-side partial aggregation;
-    a second tiny aggregation squares and adds the per-dimension sums.
+    One pass: unit and rank vectors are computed once per row and added up by
+    group in Arrow batches, so a batch sends one array a group; a small
+    aggregation adds the arrays.
     """
     key = [key] if isinstance(key, str) else list(key)
-    x = df.select(*key, F.col(vec).alias("_v")).withColumn("_u", V.unit("_v")) \
-          .withColumn("_r", V.centered_rank_unit(F.col("_v")))
-    e = x.select(*key, F.col("_u").isNotNull().alias("_hu"), F.col("_r").isNotNull().alias("_hr"),
-                 F.posexplode(F.arrays_zip(F.coalesce("_u", F.array()), F.coalesce("_r", F.array()),
-                                           F.col("_v"))).alias("_i", "_z"))
-    per_dim = e.groupBy(*key, "_i").agg(
-        F.sum(F.col("_z")["0"]).alias("_su"), F.sum(F.col("_z")["1"]).alias("_sr"),
-        F.sum(F.col("_hu").cast("long")).alias("_nu"), F.sum(F.col("_hr").cast("long")).alias("_nr"),
-        F.count(F.lit(1)).alias("_nv"))
-    per_key = per_dim.groupBy(*key).agg(
-        F.sum(F.col("_su") * F.col("_su")).alias("_ssu"), F.sum(F.col("_sr") * F.col("_sr")).alias("_ssr"),
-        F.max("_nu").alias("_nu"), F.max("_nr").alias("_nr"), F.max("_nv").alias("n_vectors"))
-
-    def mean_pairs(n, ss):
-        return F.when(F.col(n) > 1, (F.col(ss) - F.col(n)) / (F.col(n) * (F.col(n) - 1)))
-
-    return per_key.select(
-        *key,
-        F.col("n_vectors").cast("long").alias("n_vectors"),
-        (F.col("n_vectors") * (F.col("n_vectors") - 1) / 2).cast("long").alias("n_pairs"),
-        F.round(mean_pairs("_nu", "_ssu"), digits).alias("mean_cosine"),
-        F.round(mean_pairs("_nr", "_ssr"), digits).alias("mean_spearman"),
-    )
+    x = df.select(*key, F.col(vec).alias("_v"))
+    x = x.select(*key, F.explode(F.array(
+        F.struct(F.lit("u").alias("kind"), V.unit("_v").alias("v")),
+        F.struct(F.lit("r").alias("kind"), V.centered_rank_unit(F.col("_v")).alias("v")))).alias("_s")).select(*key, "_s.*")
+    sums = vector_sums(x.where(F.col("v").isNotNull()), [*key, "kind"], "v")
+    sq = F.aggregate("total", F.lit(0.0), lambda a, t: a + t * t)
+    mean = F.when(F.col("n") > 1, (sq - F.col("n")) / (F.col("n") * (F.col("n") - 1)))
+    per = sums.select(*key, "kind", mean.alias("m")).groupBy(*key).agg(
+        F.round(F.max(F.when(F.col("kind") == "u", F.col("m"))), digits).alias("mean_cosine"),
+        F.round(F.max(F.when(F.col("kind") == "r", F.col("m"))), digits).alias("mean_spearman"))
+    n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_vectors"))
+    return n.join(per, key, "left").select(
+        *key, "n_vectors", (F.col("n_vectors") * (F.col("n_vectors") - 1) / 2).cast("long").alias("n_pairs"),
+        "mean_cosine", "mean_spearman")
 
 
 def mean_pool_long(df: DataFrame, key, vec: str = "vec") -> DataFrame:
@@ -70,10 +95,28 @@ def mean_pool(df: DataFrame, key, vec: str = "vec") -> DataFrame:
               .select(*key, F.transform("_s", lambda s: s["value"]).alias(vec)))
 
 
+def all_pairs(vectors: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFrame:
+    """P5: every unordered pair (id1 < id2) of a table of *named* vectors, with both vectors.
+
+    The caller names the ids (a report over groups or a short list); block pairs
+    keep tasks bounded whatever their number.
+    """
+    from seqmill.operators.pairs import pairs_within
+
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    return pairs_within(v.withColumn("_all", F.lit(0)), "_all", "id", ["id", "vec"]).select("id1", "id2", "vec1", "vec2")
+
+
 def pair_metrics(pairs: DataFrame, digits: int = 6) -> DataFrame:
-    """cosine, cosine distance, Euclidean distance and Spearman of (vec1, vec2)."""
-    r1, r2 = V.centered_rank_unit(F.col("vec1")), V.centered_rank_unit(F.col("vec2"))
-    x = pairs.withColumn("_r1", r1).withColumn("_r2", r2)
+    """cosine, cosine distance, Euclidean distance and Spearman of (vec1, vec2), which ids ``id1``, ``id2`` name.
+
+    A vector that several pairs use is ranked once.
+    """
+    ends = (pairs.select(F.col("id1").alias("_id"), F.col("vec1").alias("_v"))
+            .unionByName(pairs.select(F.col("id2").alias("_id"), F.col("vec2").alias("_v"))).dropDuplicates(["_id"]))
+    ranks = ends.select("_id", V.centered_rank_unit(F.col("_v")).alias("_r"))
+    x = pairs.join(ranks.select(F.col("_id").alias("id1"), F.col("_r").alias("_r1")), "id1")
+    x = x.join(ranks.select(F.col("_id").alias("id2"), F.col("_r").alias("_r2")), "id2")
     keep = [c for c in pairs.columns if c not in ("vec1", "vec2")]
     return x.select(
         *keep,

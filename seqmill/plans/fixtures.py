@@ -110,20 +110,20 @@ def fx_residue_vec(t: Tables) -> DataFrame:
     """Per-residue vectors of the four models, keyed (model, seq_id, pos).
 
     vec = embedding[(ascii(aa)*7 + pos%3 + 13*m) mod n_vec]; model ``cont`` has
-    no vectors for source ``src7``.  The embedding table is a bounded dimension
-    (one row per vector id) and is broadcast only after a size check.
+    no vectors for source ``src7``.  The rule names at most 312 vector ids (26
+    letters, 3 places, 4 models), so that many rows of the embedding table are broadcast.
     """
-    from seqmill.operators.joins import broadcast_if_small
-
     nv = n_vectors(t)
+    named = sorted({(ord(a) * 7 + p + 13 * m) % max(nv, 1) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for p in range(3)
+                    for m in range(len(MODELS))})
     models = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(n).alias("model")) for i, n in enumerate(MODELS)])
     r = fx_residues(t).select("seq_id", "grp", "pos", "aa", F.explode(models).alias("mm"))
     r = r.select("seq_id", "pos", "aa", F.col("mm.model").alias("model"),
                  F.pmod(F.ascii("aa") * 7 + F.pmod("pos", F.lit(3)) + F.col("mm.m") * 13, F.lit(nv)).cast("long").alias("vec_id"),
                  "grp")
     r = r.where(~((F.col("model") == MISSING_MODEL) & (F.col("grp") == MISSING_SOURCE)))
-    e = t("embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return (r.join(broadcast_if_small(e, t.spark), "vec_id")
+    e = t("embeddings").where(F.col("vec_id").isin(named)).select("vec_id", F.col("embedding").alias("vec"))
+    return (r.join(F.broadcast(e), "vec_id")
              .select("model", "seq_id", "pos", "vec"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -78,6 +79,14 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+def staged(df, name: str):
+    """Cut the lineage of a large table: Parquet in the shared folder, read again."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/seqmill/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the workers, wherever the driver was started."""
     sc = spark.sparkContext

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -22,8 +20,12 @@ class Tables:
         self.sf_dir = sf_dir
 
     def path(self, name: str) -> str:
-        p = os.path.join(self.sf_dir, f"{name}.parquet")
-        return p if os.path.exists(p) else os.path.join(self.sf_dir, name)
+        return f"{self.sf_dir.rstrip('/')}/{name}.parquet"
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A table as Parquet."""
+    df.write.mode("overwrite").parquet(path)

@@ -53,7 +53,7 @@ def main():
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     registry.load_all()
-    spark = get_spark("local[4]")
+    spark = get_spark("local[2]")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
