@@ -26,7 +26,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     def run(batches):
         enc, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for part in chunks(batch, "t"):
+            for part in chunks(batch, "t", 2 << 20):
                 lists = [words(t.as_py()) for t in part.column("t")]
                 enc.prepare(lists)
                 src, no, start, length, crc = [], [], [], [], []

@@ -71,7 +71,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, key: str =
                                               names=["kind", "k", "ids"])
 
         for batch in batches:
-            for part in chunks(batch, "t"):
+            for part in chunks(batch, "t", 2 << 20):
                 lists = [words(t.as_py()) for t in part.column("t")]
                 enc.prepare(lists)
                 ids = [enc.ids(ws) + end for ws in lists]

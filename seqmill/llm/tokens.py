@@ -34,7 +34,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """``ids(words)``: the little-endian unsigned 32-bit ids of a list of words (bytes), joined."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
