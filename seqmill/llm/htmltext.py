@@ -15,7 +15,17 @@ from seqmill.llm.common import chunks, ship, text_bytes
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _UNSEEN = frozenset("head title meta link base style script template noscript iframe noembed noframes object audio "
-                    "video canvas datalist svg math area param source track col colgroup rp".split())
+                    "video canvas datalist area param source track col colgroup rp".split())
+#: What svg and math hold without showing it.
+_UNDRAWN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter "
+                     "style script".split()),
+    "math": frozenset("annotation annotation-xml mphantom style script".split()),
+}
+#: HTML may stand in these; elsewhere in svg and math the start tags of the last set end them.
+_HOLDS_HTML = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+_BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+                        "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
                    "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup "
                    "option p pre search section summary table ul xmp caption tr thead tbody tfoot td th".split())
@@ -42,6 +52,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'=]+/\Z")  # the slash belongs to the value
 _SHOWN_STYLE = re.compile(r"visibility\s*:\s*visible", re.I)
 _LINE = re.compile(r"\n(?=[^\n])")
 _DEPTH = 120  # deeper elements become siblings; their text stays
@@ -49,10 +60,11 @@ _PAD = 48  # a wider column is not padded
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "kind")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, kind: str = ""):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.kind = kind  # "svg" or "math" for their elements
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -67,6 +79,7 @@ def build(page: str) -> Node:
 
     An end tag closes the nearest open element of its name within its table cell;
     without one it is passed over.  A stray ``</p>`` has no effect on text.
+    In svg and math, elements have their own names, ``/>`` ends them, and no text is raw.
     """
     root = Node("html")
     stack = [root]
@@ -74,6 +87,7 @@ def build(page: str) -> Node:
     def pop_to(names, stops, every: bool = False) -> None:
         """Close the nearest open element of these names below the nearest stop; ``every``: all of them (a cell, its row)."""
         at = None
+        inner = holds_html(stack[-1], "") and not names & _UNDRAWN.keys()  # HTML within svg or math ends nothing outside
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in stops:
                 break
@@ -81,6 +95,8 @@ def build(page: str) -> Node:
                 at = i
                 if not every:
                     break
+            elif inner and stack[i].kind:
+                break
         if at is not None:
             del stack[at:]
 
@@ -90,6 +106,14 @@ def build(page: str) -> Node:
                 stack.pop()
             stack[-1].children.append(s)
 
+    def closes_itself(raw: str) -> bool:
+        return raw.endswith("/") and not _UNQUOTED_END.search(raw)
+
+    def holds_html(node: Node, tag: str) -> bool:
+        if node.kind == "math" and node.tag == "annotation-xml":
+            return tag == "svg" or node.attrs.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
+        return not node.kind or (node.tag in _HOLDS_HTML[node.kind] and tag not in ("mglyph", "malignmark"))
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -101,6 +125,10 @@ def build(page: str) -> Node:
             text(_html.unescape(s) if "&" in s else s)
         at = m.end()
         if m[2] is None:
+            if stack[-1].kind and page.startswith("<![CDATA[", m.start()):
+                end = page.find("]]>", m.start() + 9)
+                text(page[m.start() + 9:end if end >= 0 else size])
+                at = end + 3 if end >= 0 else size
             continue
         tag = m[2].lower()
         if m[1]:
@@ -111,6 +139,16 @@ def build(page: str) -> Node:
             elif tag not in ("html", "body"):
                 pop_to({tag}, {"td", "th", "table"})
             continue
+        if stack[-1].kind:
+            if tag in _BREAKS_OUT:
+                while not holds_html(stack[-1], tag):
+                    stack.pop()
+            if not holds_html(stack[-1], tag):
+                node = Node(tag, _attributes(m[3]), stack[-1].kind)
+                stack[-1].children.append(node)
+                if not closes_itself(m[3]) and len(stack) < _DEPTH:
+                    stack.append(node)
+                continue
         if tag == "html":
             continue
         if stack[-1].tag == "head" and tag not in _HEAD:
@@ -119,8 +157,10 @@ def build(page: str) -> Node:
             pop_to({"p"}, {"td", "th", "table", "button", "li", "dd", "dt"} - {tag})
         if tag in _ENDS:
             pop_to(*_ENDS[tag], every=True)
-        node = Node(tag, _attributes(m[3]) if m[3].strip(" /\n\t\r") else None)
+        node = Node(tag, _attributes(m[3]) if m[3].strip(" /\n\t\r") else None, tag if tag in _UNDRAWN else "")
         stack[-1].children.append(node)
+        if node.kind and closes_itself(m[3]):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             raw = page[at:end.start()] if end else page[at:]
@@ -134,10 +174,12 @@ def build(page: str) -> Node:
 
 def _visible(node: Node) -> bool:
     a = node.attrs
-    if node.tag in _UNSEEN:
+    if node.tag in (_UNDRAWN[node.kind] if node.kind else _UNSEEN):
         return False
     if not a:
         return True
+    if node.kind == "svg" and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+        return False
     if "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False
     return not ("style" in a and _HIDDEN_STYLE.search(a["style"]) and not _SHOWN_STYLE.search(a["style"]))
@@ -213,6 +255,16 @@ def _render(node: Node, out: _Page, pre: bool = False) -> None:
                 _render(shut, out)
                 out.end_line()
             continue
+        if child.kind:
+            # a drawn text stands for itself, as the rows of a formula's table do
+            line = tag in ("text", "foreignobject", "mtr", "mlabeledtr")
+            if line:
+                out.end_line()
+            out.space |= tag == "mtd"
+            _render(child, out)
+            if line:
+                out.end_line()
+            continue
         gap = 2 if tag in _SPACED else 1 if tag in _BLOCK else 0
         if gap == 2 and node.tag == "li" and tag != "p":
             gap = 1  # a nested list follows its item's line

@@ -436,6 +436,19 @@ def test_visible_text(page, want):
     assert htmltext.visible_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("a <svg><title>t</title><desc><p>d</desc><defs><text>e</text></defs><text x=1>b<tspan>c</tspan></text>"
+     "<text>f</text></svg> g", "a\nbc\nf\ng"),
+    ("x <math><semantics><mrow><mi>y</mi><mo>=</mo><mn>2</mn></mrow><annotation>y=2</annotation></semantics></math> z", "x y=2 z"),
+    ("<svg><title/><path d='M0'/><style/><text>a</text></svg><p>b", "a\n\nb"),
+    ("<p>a<svg><foreignObject><p>b</p><div hidden>c</div></foreignObject><g display=none><text>d</text></g></svg>e", "a\n\nb\n\ne"),
+    ("<svg><g><text>a<p>b</p>c", "a\n\nb\n\nc"), ("<svg><text><![CDATA[1 < 2 > 0]]></text></svg>", "1 < 2 > 0"),
+    ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd>3</mtd></mtr></mtable></math>", "1 2\n3"),
+])
+def test_svg_and_math_text(page, want):
+    assert htmltext.visible_text(page) == want
+
+
 def test_pages_keep_all_words(spark):
     deep = "<div>" * 5000 + "deep" + "<b>" * 5000 + "er"
     html = [None, "", deep, "<table>" * 300 + "<tr><td>x", "<p>" + "w " * 100_000, "<td>q</td>", "\x00<퟿"]
