@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,7 +57,7 @@ _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|colla
 _UNQUOTED_END = re.compile(r"=\s*[^\s\"'=]+/\Z")  # the slash belongs to the value
 _SHOWN_STYLE = re.compile(r"visibility\s*:\s*visible", re.I)
 _LINE = re.compile(r"\n(?=[^\n])")
-_DEPTH = 120  # deeper elements become siblings; their text stays
+_NESTED = 40  # lists, quotations and tables deeper than this keep lines, markers and cells but are not indented or aligned
 _PAD = 48  # a wider column is not padded
 
 
@@ -84,26 +86,40 @@ def build(page: str) -> Node:
     root = Node("html")
     stack = [root]
 
+    places: dict[str, list[int]] = defaultdict(list)  # where the open elements of a name stand
+    places["html"].append(0)
+    outside: list[int] = []  # open svg and math elements
+
+    def push(node: Node) -> None:
+        places[node.tag].append(len(stack))
+        if node.kind:
+            outside.append(len(stack))
+        stack.append(node)
+
+    def pop(at: int) -> None:
+        while len(stack) > at:
+            node = stack.pop()
+            places[node.tag].pop()
+            if node.kind:
+                outside.pop()
+
     def pop_to(names, stops, every: bool = False) -> None:
         """Close the nearest open element of these names below the nearest stop; ``every``: all of them (a cell, its row)."""
-        at = None
-        inner = holds_html(stack[-1], "") and not names & _UNDRAWN.keys()  # HTML within svg or math ends nothing outside
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in stops:
-                break
-            if stack[i].tag in names:
-                at = i
-                if not every:
-                    break
-            elif inner and stack[i].kind:
-                break
-        if at is not None:
-            del stack[at:]
+        found = [places[x] for x in names if places.get(x)]
+        if not found:
+            return
+        least = max((places[x][-1] for x in stops if places.get(x)), default=0)
+        if outside and holds_html(stack[-1], "") and not names & _UNDRAWN.keys():
+            # HTML within svg or math ends nothing outside; an element of the name itself may end
+            least = max(least, outside[-1] - (stack[outside[-1]].tag in names))
+        nearest = [x[bisect_right(x, least)] if every else x[-1] for x in found if x[-1] > least]
+        if nearest:
+            pop(min(nearest) if every else max(nearest))
 
     def text(s: str) -> None:
         if s:
             if stack[-1].tag == "head" and not s.isspace():
-                stack.pop()
+                pop(len(stack) - 1)
             stack[-1].children.append(s)
 
     def closes_itself(raw: str) -> bool:
@@ -142,17 +158,17 @@ def build(page: str) -> Node:
         if stack[-1].kind:
             if tag in _BREAKS_OUT:
                 while not holds_html(stack[-1], tag):
-                    stack.pop()
+                    pop(len(stack) - 1)
             if not holds_html(stack[-1], tag):
                 node = Node(tag, _attributes(m[3]), stack[-1].kind)
                 stack[-1].children.append(node)
-                if not closes_itself(m[3]) and len(stack) < _DEPTH:
-                    stack.append(node)
+                if not closes_itself(m[3]):
+                    push(node)
                 continue
         if tag == "html":
             continue
         if stack[-1].tag == "head" and tag not in _HEAD:
-            stack.pop()
+            pop(len(stack) - 1)
         if tag in _CLOSES_P:
             pop_to({"p"}, {"td", "th", "table", "button", "li", "dd", "dt"} - {tag})
         if tag in _ENDS:
@@ -167,8 +183,7 @@ def build(page: str) -> Node:
             at = end.end() if end else size
             node.children.append(_html.unescape(raw) if tag in ("textarea", "title") else raw)
         elif tag not in _VOID:
-            if len(stack) < _DEPTH:
-                stack.append(node)
+            push(node)
     return root
 
 
@@ -188,9 +203,11 @@ def _visible(node: Node) -> bool:
 class _Page:
     """Text so far, with spaces and line ends held back until text follows."""
 
-    def __init__(self):
+    def __init__(self, level: int = 0):
         self.parts: list[str] = []
         self.space, self.lines = False, 0
+        self.level = level  # pages that this one lies in
+        self.marks: list[str] = []  # list markers held back until their item has text
 
     def flow(self, s: str) -> None:
         t = _SPACE.sub(" ", s)
@@ -209,6 +226,9 @@ class _Page:
             elif space or self.space:
                 self.parts.append(" ")
         self.lines, self.space = 0, False
+        if self.marks:
+            self.parts += self.marks
+            self.marks.clear()
 
     def exact(self, s: str) -> None:
         """Text whose white space counts."""
@@ -235,7 +255,18 @@ def _number(s: str | None, default: int) -> int:
         return default
 
 
-def _render(node: Node, out: _Page, pre: bool = False) -> None:
+def _finish(steps) -> None:
+    """Run a renderer, which yields the renderers of inner elements, on a stack of its own."""
+    stack = [steps]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _render(node: Node, out: _Page, pre: bool = False):
     for child in node.children:
         if isinstance(child, str):
             (out.exact if pre else out.flow)(child)
@@ -252,7 +283,7 @@ def _render(node: Node, out: _Page, pre: bool = False) -> None:
                 shut = Node(tag)
                 shut.children = [x for x in child.children if not isinstance(x, str) and x.tag == "summary"]
                 out.end_line()
-                _render(shut, out)
+                yield _render(shut, out)
                 out.end_line()
             continue
         if child.kind:
@@ -261,7 +292,7 @@ def _render(node: Node, out: _Page, pre: bool = False) -> None:
             if line:
                 out.end_line()
             out.space |= tag == "mtd"
-            _render(child, out)
+            yield _render(child, out)
             if line:
                 out.end_line()
             continue
@@ -271,39 +302,47 @@ def _render(node: Node, out: _Page, pre: bool = False) -> None:
         if gap:
             out.end_line(gap)
         if tag in ("ul", "ol", "menu", "dir"):
-            _list(child, out, pre)
+            yield _list(child, out, pre)
         elif tag == "table":
-            _table(child, out)
+            yield _table(child, out)
         elif tag == "blockquote":
-            _indented(child, out, "  ", "  ", pre)
+            yield _indented(child, out, "  ", "  ", pre)
         elif tag == "dd":
-            _indented(child, out, "  ", "  ", pre)
+            yield _indented(child, out, "  ", "  ", pre)
         elif tag == "input":
             if child.attrs.get("type", "text").lower() not in ("password", "file", "image"):
                 out.flow(child.attrs.get("value", ""))
         else:
-            _render(child, out, pre or tag in ("pre", "textarea", "xmp"))
+            yield _render(child, out, pre or tag in ("pre", "textarea", "xmp"))
         if gap:
             out.end_line(gap)
 
 
-def _indented(node: Node, out: _Page, first: str, rest: str, pre: bool) -> None:
-    inner = _Page()
-    _render(node, inner, pre)
+def _indented(node: Node, out: _Page, first: str, rest: str, pre: bool):
+    if out.level >= _NESTED:
+        held = len(out.marks)
+        if first.strip():
+            out.marks.append(first)
+        yield _render(node, out, pre)
+        del out.marks[held:]  # of an item without text
+        out.end_line()
+        return
+    inner = _Page(out.level + 1)
+    yield _render(node, inner, pre)
     body = inner.text()
     if body:
         out.exact(first + _LINE.sub("\n" + rest, body))
         out.end_line()
 
 
-def _list(node: Node, out: _Page, pre: bool) -> None:
+def _list(node: Node, out: _Page, pre: bool):
     """Items after a dash or their number, further lines under the item's text; a nested list is indented."""
     no = _number(node.attrs.get("start"), 1)
     loose = Node("div")
     for child in node.children:
         if isinstance(child, Node) and child.tag == "li":
             if loose.children:
-                _render(loose, out, pre)
+                yield _render(loose, out, pre)
                 loose = Node("div")
             if not _visible(child):
                 continue
@@ -311,11 +350,11 @@ def _list(node: Node, out: _Page, pre: bool) -> None:
             mark = f"{no}. " if node.tag == "ol" else "- "
             no += 1
             out.end_line()
-            _indented(child, out, mark, " " * len(mark), pre)
+            yield _indented(child, out, mark, " " * len(mark), pre)
         else:
             loose.children.append(child)
     if loose.children:
-        _render(loose, out, pre)
+        yield _render(loose, out, pre)
 
 
 def _rows(node: Node, rows: list[Node], other: list) -> None:
@@ -333,7 +372,7 @@ def _rows(node: Node, rows: list[Node], other: list) -> None:
             other.append(child)
 
 
-def _table(node: Node, out: _Page) -> None:
+def _table(node: Node, out: _Page):
     """Cells of a column start at the same place, two spaces after the widest cell; spans keep their columns.
 
     Text outside rows and the caption come first, as browsers place them.
@@ -341,7 +380,7 @@ def _table(node: Node, out: _Page) -> None:
     rows: list[Node] = []
     before = Node("div")
     _rows(node, rows, before.children)
-    _render(before, out)
+    yield _render(before, out)
     out.end_line()
     grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell from above still covers
@@ -353,11 +392,17 @@ def _table(node: Node, out: _Page) -> None:
         own = [x for x in row.children if isinstance(x, Node) and x.tag in ("td", "th") and _visible(x)]
         if any(not isinstance(x, str) or not x.isspace() for x in loose.children):
             own.insert(0, loose)
+        if out.level >= _NESTED:
+            for cell in own:
+                out.space = True
+                yield _render(cell, out)
+            out.end_line()
+            continue
         for cell in own:
             while at in covered:
                 at += 1
-            inner = _Page()
-            _render(cell, inner)
+            inner = _Page(out.level + 1)
+            yield _render(cell, inner)
             cells[at] = inner.text().split("\n")
             wide = min(max(_number(cell.attrs.get("colspan"), 1), 1), 1000)
             tall = min(max(_number(cell.attrs.get("rowspan"), 1), 1), 65534)
@@ -388,7 +433,7 @@ def _table(node: Node, out: _Page) -> None:
 def visible_text(page: str) -> str:
     """All visible text of a page; the empty page has none."""
     out = _Page()
-    _render(build(page), out)
+    _finish(_render(build(page), out))
     return out.text()
 
 

@@ -449,6 +449,17 @@ def test_svg_and_math_text(page, want):
     assert htmltext.visible_text(page) == want
 
 
+@pytest.mark.parametrize("outer", ["<font>", "<b><i>", "<span>", "<div>", "<blockquote>", "<ul><li>", "<table><tr><td>"])
+def test_rules_hold_at_any_depth(outer):
+    page = outer * 3000 + ("<p hidden>x</p><template>y</template><svg><desc>z</desc></svg><details>w</details>"
+                           "<ul><li>a</li><li>b</li></ul><table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>")
+    text = htmltext.visible_text(page)
+    # the leading markers are those of the outer items
+    assert [x.split() for x in text.split("\n") if x.strip()][-4:] == [
+        (["-"] * 3000 if "li" in outer else []) + ["-", "a"], ["-", "b"], ["1", "2"], ["3"]]
+    assert htmltext.visible_text("<b>" * 300 + "<i><u>1</i>2</u>" + "<p>3<div style=display:none>4<u>5</u></div>6") == "12\n\n3\n\n6"
+
+
 def test_pages_keep_all_words(spark):
     deep = "<div>" * 5000 + "deep" + "<b>" * 5000 + "er"
     html = [None, "", deep, "<table>" * 300 + "<tr><td>x", "<p>" + "w " * 100_000, "<td>q</td>", "\x00<퟿"]
