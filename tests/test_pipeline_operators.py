@@ -247,6 +247,34 @@ def test_soft_alignment_against_brute_force(spark):
         (2, "s2", "no vectors"), (4, "s5", "empty"), (5, "s9", "missing"), (6, "s4", "too long")}
 
 
+def test_alignment_queries_take_the_reference_length(spark, tmp_path):
+    from seqmill.plans import registry
+
+    registry.load_all()
+    r = np.random.default_rng(3)
+    base = "".join(r.choice(list("ACDEFG"), 1025))
+    texts = [base[100:620], base[:1024], base, "ACD"]
+    emb = r.normal(size=(320, 6))
+    spark.createDataFrame([(i, t, "s", "en", len(t)) for i, t in enumerate(texts)],
+                          "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(z) for z in v], "l") for i, v in enumerate(emb)],
+                          "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def rows(name):
+        return registry.QUERIES[name](spark, str(tmp_path)).collect()
+
+    rejects = {(1, "S2", "too long"), (2, "S2", "too long"), (3, "S4", "missing")}
+    assert {tuple(x) for x in rows("alignment_rejects")} == {tuple(x) for x in rows("soft_alignment_errors")} == rejects
+    assert [(x.pair_id, x.n_cells) for x in rows("similarity_profile")] == [(0, 520 * 1024)]
+    x, y = (np.array([emb[(ord(c) * 7 + i % 3) % len(emb)] for i, c in enumerate(t)], np.float32).astype(float) for t in texts[:2])
+    found, kept, length = _soft(texts[0], texts[1], x, y)
+    assert len(rows("extended_matches")) == found and len(rows("clean_matches")) == kept
+    got = rows("soft_alignment")
+    assert [(g.pair_id, g.len_pt, g.len_q, g.len_h) for g in got] == [(0, length, 520, 1024)] and length > 1
+    for name in ("mutual_matches", "pca_matches", "diagonal_support"):
+        assert {g.pair_id for g in rows(name)} == {0}
+
+
 def test_longest_chain_and_interval_pruning(spark):
     r = random.Random(4)
     for _ in range(200):
