@@ -192,6 +192,28 @@ def test_given_columns_and_indexes(spark):
     assert got == [("s1", 0, 0), ("s1", 3, 2), ("s2", 0, 5), ("s2", 2, 6), ("s2", 3, 7)]
 
 
+def test_given_columns_reach_the_whole_width(spark, tmp_path):
+    from seqmill.plans import registry
+
+    registry.load_all()
+    r = random.Random(5)
+    base = "".join(r.choice("ACDEFG") for _ in range(900))
+    texts = [base, base[:500] + "W" * 300, base[:40], "", "1 2"]
+    spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)],
+                          "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [t.replace("E", "-E") for t in texts[:3]]
+    width = max(map(len, rows))
+    rows = [t.ljust(width, "-") for t in rows]
+    n_cells = n_cols = total = 0
+    for c in range(width):
+        there = [x[c] for x in rows if x[c] != "-"]
+        if there and max(map(there.count, there)) >= 0.4 * len(rows):
+            n_cols, n_cells = n_cols + 1, n_cells + len(there)
+            total += sum(len(x[:c].replace("-", "")) for x in rows if x[c] != "-")
+    got = [tuple(x) for x in registry.QUERIES["given_columns"](spark, str(tmp_path)).collect()]
+    assert got == [("s/en", n_cells, n_cols, total)] and n_cols > 200
+
+
 # ---- alignment
 
 def _soft(s, t, x, y, n=4, min_len=10):
