@@ -135,3 +135,13 @@ def fx_clust(t: Tables) -> DataFrame:
         lambda x, i: (x.cast("double") * 0.1 + F.when(i == F.col("label"), 1.0).otherwise(0.0)),
     )
     return e.select("vec_id", "label", vec.alias("vec"))
+
+
+def fx_clust_model(t: Tables, m: int) -> DataFrame:
+    """(id, vec) of model number ``m``: ``fx_clust`` with the embedding of id ``(vec_id + 13 m) mod n_vec``,
+    as ``fx_residue_vec`` shifts ids."""
+    e = t("embeddings").select(F.col("vec_id").alias("at"), "embedding")
+    at = F.pmod(F.col("vec_id") + 13 * m, F.lit(n_vectors(t))).cast("long").alias("at")
+    own = t("embeddings").select(F.col("vec_id").alias("id"), "label", at)
+    return own.join(e, "at").select("id", F.transform("embedding", lambda x, i: (
+        x.cast("double") * 0.1 + F.when(i == F.col("label"), 1.0).otherwise(0.0))).alias("vec"))

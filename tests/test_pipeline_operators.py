@@ -182,6 +182,28 @@ def test_knn_core_and_silhouette_edges(spark):
         C.silhouette(same.withColumn("label", F.lit(1)))
 
 
+def test_benchmark_samples_groups_for_each_iteration(spark):
+    r = np.random.default_rng(4)
+    points = {k: r.normal(size=2) * 0.1 + [(k // 12) * 5, (k // 12) ** 2] for k in range(72)}
+    groups = spark.createDataFrame([(k, f"g{k // 12}") for k in points], "id long, grp string")
+    models = {n: spark.createDataFrame([(k, [float(z) * f for z in v]) for k, v in points.items()], "id long, vec array<double>")
+              for n, f in (("p", 1.0), ("q", 1.5))}
+    got = {(x.iteration, x.title): x for x in C.cluster_benchmark(models, groups, 3, 1.5, 5, n_groups=3, iterations=3).collect()}
+    assert set(got) == {(i, n) for i in range(3) for n in "pq"}
+    samples = set()
+    for i in range(3):
+        ids = [x.id for x in SM.sample_groups(groups, "grp", 3, seed=i).collect()]
+        samples.add(frozenset(ids))
+        x, g = np.array([points[k] for k in ids]), np.array([k // 12 for k in ids])
+        d = np.linalg.norm(x[:, None] - x[None], axis=2)
+        inner = np.array([d[k][(g == g[k])].sum() / 11 for k in range(len(g))])
+        near = np.array([min(d[k][g == h].mean() for h in set(g) - {g[k]}) for k in range(len(g))])
+        want = ((near - inner) / np.maximum(near, inner)).mean()
+        for n in "pq":  # lengths of another unit leave it as it is
+            assert got[i, n].n_clusters == 3 and abs(got[i, n].silhouette - want) < 0.0051
+    assert len(samples) > 1
+
+
 # ---- residues
 
 def test_given_columns_and_indexes(spark):
