@@ -8,6 +8,7 @@ import zipfile
 import tempfile
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -95,3 +96,38 @@ def filesystem(uri: str):
     """``(filesystem, path)`` of a folder that driver and executors share."""
     from pyarrow import fs
     return fs.FileSystem.from_uri(uri)
+
+
+def finite(rows: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector is not null and holds neither null nor non-finite entries."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where(F.col(vector).isNotNull() & ~bad)
+
+
+def common_width(rows: DataFrame, vector: str) -> int:
+    """The length that most vectors have (of equally frequent ones the greatest); 0 without rows."""
+    sizes = rows.groupBy(F.size(vector).alias("w")).agg(F.count("*").alias("n"))
+    first = sizes.orderBy(F.desc("n"), F.desc("w")).first()
+    return first.w if first else 0
+
+
+def scaled(column: pa.Array, width: int, scale: int, most: int) -> np.ndarray:
+    """Whole numbers ``floor(scale * x)`` of an Arrow list column, a row each, held at plus or minus ``most``."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+    return np.clip(np.floor(scale * flat), -most, most).astype(np.int64).reshape(len(column), width)
+
+
+def total_joined(rows: DataFrame, totals: DataFrame, key: str, total: str, most_rows: int = 1_000_000,
+                 most_keys: int = 100_000) -> DataFrame:
+    """``rows`` with the column ``total`` of ``totals(key, total, n)``; null keys meet each other.
+
+    Few totals are broadcast (counted first).  Otherwise the totals of keys with more than
+    ``most_rows`` rows are: a table has few such keys.  The others' are joined by shuffle.
+    """
+    k = totals.select(F.col(key).alias("k_"), total, "n")
+    same = F.col(key).eqNullSafe(F.col("k_"))
+    if k.limit(most_keys + 1).count() <= most_keys:
+        return rows.join(F.broadcast(k.drop("n")), same).drop("k_")
+    hot, cold = F.broadcast(k.where(F.col("n") > most_rows).drop("n")), k.where(F.col("n") <= most_rows).drop("n")
+    often = rows.join(hot, same).drop("k_")
+    return often.unionByName(rows.join(hot, same, "left_anti").join(cold, same).drop("k_"))

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmill.llm import crosspoly, ctxmix, htmltext, mixing, packing, quality, simhash, sketch, tokenfile, warc
+from seqmill.llm import (codes, crosspoly, ctxmix, htmltext, mixing, packing, quality, simhash, sketch, tokenfile, urlfilter,
+                         warc, whitening)
 from seqmill.llm.common import read_table
 from seqmill.llm.registry import query
 
@@ -102,3 +103,66 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_context_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctxmix.scores(read_table(spark, sf_dir, "documents"), mod=7, rest=2)
+
+
+@query("op11_polarised_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=8)
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op12_url_rules", """
+WITH rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT row_number() OVER () AS n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+b AS (SELECT n, arg_max(rh || rp, len(rh || rp)) AS rule, arg_max(v, len(rh || rp)) AS verdict
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (n)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+PARTS, ENTRIES, ROUNDS = 4, 256, 4
+
+
+def _code_sql() -> str:
+    """The rounds of code assignment one after the other, as common table expressions."""
+    sql = f"""WITH d AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT n, j, v[j * len(v) // {PARTS} + 1:(j + 1) * len(v) // {PARTS}]::DOUBLE[] AS x
+  FROM d, range({PARTS}) t(j)),
+c0 AS MATERIALIZED (SELECT j, n - 1 AS e, x AS c FROM p WHERE n <= {ENTRIES})"""
+    for r in range(ROUNDS + 1):
+        sql += f""",
+a{r} AS MATERIALIZED (SELECT n, p.j, any_value(x) AS x, min(struct_pack(
+    dist := list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), e := e)) AS best
+  FROM p JOIN c{r} k ON p.j = k.j GROUP BY n, p.j)"""
+        if r < ROUNDS:
+            sql += f""",
+s{r} AS (SELECT j, best.e AS e, i, CAST(floor(sum(x[i]) / count(*)) AS DOUBLE) AS m
+  FROM a{r}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS i) WHERE i <= len(x) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT j, e, coalesce(u.m, c) AS c FROM c{r} LEFT JOIN
+  (SELECT j, e, list(m ORDER BY i) AS m FROM s{r} GROUP BY j, e) u USING (j, e))"""
+    return sql + f""",
+f AS (SELECT n, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY j) AS code, CAST(sum(best.dist) AS BIGINT) AS error
+  FROM a{ROUNDS} GROUP BY n),
+b AS (SELECT sha256(string_agg(array_to_string(c::BIGINT[], ','), ',' ORDER BY j, e)) AS h FROM c{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM d JOIN f USING (n), b"""
+
+
+@query("op13_ball_tree_codes", _code_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = codes.compress(read_table(spark, sf_dir, "embeddings"), parts=PARTS, entries=ENTRIES, rounds=ROUNDS)
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
