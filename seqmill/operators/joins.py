@@ -41,3 +41,17 @@ def broadcast_if_small(df: DataFrame, spark: SparkSession | None = None,
     """
     _, size = estimate_bytes(df)
     return F.broadcast(df) if size <= max_bytes else df
+
+
+def attach_by_key(rows: DataFrame, table: DataFrame, on, count: str, most_rows: int = 1_000_000,
+                  max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has a row for each key and in ``count`` how many rows have it.
+
+    A small table is broadcast.  Otherwise the keys of more than ``most_rows`` rows are (a table
+    has few such keys), and the others meet by shuffle, so that no task gets all rows of a frequent key.
+    """
+    if estimate_bytes(table)[1] <= max_bytes:
+        return rows.join(F.broadcast(table), on)
+    hot = F.broadcast(table.where(F.col(count) > most_rows))
+    cold = rows.join(hot, on, "left_anti").join(table.where(F.col(count) <= most_rows), on)
+    return rows.join(hot, on).unionByName(cold)
