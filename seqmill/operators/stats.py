@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqmill.session import cut
+from seqmill.session import cut, ship
 
 
 def _prefix_partitions(d: DataFrame, cols: list[str], n_parts: int) -> DataFrame:
@@ -133,11 +133,11 @@ def kde_grid(df: DataFrame, col: str, bw_adjust: float = 2.0, gridsize: int = 20
     """Gaussian KDE on a regular grid (Scott bandwidth times bw_adjust,
     grid from min - margin*h to max + margin*h).
 
-    The data is pre-aggregated to distinct values with counts, and each
-    distinct value emits its contribution to every grid point (generate, not a
-    join), so the work is distinct_values x gridsize.  Null and NaN are left out; fewer than two
+    Each task adds up the curve of its values batch by batch and sends one row, so what is
+    shuffled is a curve a task, whatever the number of values.  Null and NaN are left out; fewer than two
     values or equal ones have no bandwidth and no curve.
     """
+    ship(df.sparkSession)
     base = _finite(df, col)
     st = base.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("sd"),
                   F.min("_x").alias("mn"), F.max("_x").alias("mx")).first()
@@ -147,16 +147,24 @@ def kde_grid(df: DataFrame, col: str, bw_adjust: float = 2.0, gridsize: int = 20
         return df.sparkSession.createDataFrame([], "column string, gi int, x double, density double")
     lo, hi = float(st["mn"]) - margin * h, float(st["mx"]) + margin * h
     step = (hi - lo) / (gridsize - 1)
-    d = base.groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
-    g = d.select("_x", "_c", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("gi"))
-    gx = F.lit(lo) + F.col("gi") * F.lit(step)
-    z = (gx - F.col("_x")) / F.lit(h)
-    contrib = F.col("_c") * F.exp(F.lit(-0.5) * z * z)
     norm = 1.0 / (n * h * math.sqrt(2.0 * math.pi))
-    return (g.groupBy("gi").agg(F.sum(contrib).alias("_s"))
-             .select(F.lit(col).alias("column"), F.col("gi").cast("int").alias("gi"),
-                     F.round(F.lit(lo) + F.col("gi") * F.lit(step), digits).alias("x"),
-                     F.round(F.col("_s") * F.lit(norm), digits).alias("density")))
+
+    def run(batches):
+        grid, total, seen = lo + np.arange(gridsize) * step, np.zeros(gridsize), False
+        for b in batches:
+            x = b.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(x), 4096):
+                z = (grid[None, :] - x[at:at + 4096, None]) / h
+                total += np.exp(-0.5 * z * z).sum(0)
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["curve"])
+
+    curves = base.select("_x").mapInArrow(run, "curve array<double>")
+    return (curves.select(F.posexplode("curve").alias("gi", "_v")).groupBy("gi").agg(F.sum("_v").alias("_s"))
+            .select(F.lit(col).alias("column"), F.col("gi").cast("int").alias("gi"),
+                    F.round(F.lit(lo) + F.col("gi") * F.lit(step), digits).alias("x"),
+                    F.round(F.col("_s") * F.lit(norm), digits).alias("density")))
 
 
 def accuracy(df: DataFrame, pred: str, label: str, digits: int = 6) -> DataFrame:

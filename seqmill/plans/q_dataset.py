@@ -11,7 +11,7 @@ from seqmill.operators import sampling as SM
 from seqmill.plans import fixtures as FX
 from seqmill.plans.oracle_fx import with_fx
 from seqmill.plans.registry import query
-from seqmill.session import cut
+from seqmill.session import cut, staged
 from seqmill.sources.tables import Tables
 
 
@@ -286,17 +286,28 @@ def length_filtered(spark, sf_dir):
     return P.filter_length(lab, "sequence", 500, 5000).select("group_name", "protein_id", F.length("sequence").alias("seq_len"))
 
 
-@query("lm_targets", with_fx(["fx_labelled"], """
-SELECT group_name, protein_id, CAST(length(sequence) + 2 AS INT) AS n_tokens, CAST(length(sequence) + 1 AS INT) AS n_targets
-FROM fx_labelled"""))
+_IDS = "list_transform(string_split(sequence, ''), lambda c: coalesce(map_extract(vm, c)[1], 3))"
+
+
+@query("lm_targets", with_fx(["fx_labelled"], f"""
+WITH v AS (SELECT map(list(token), list(id)) AS vm FROM (
+  SELECT substr('{E.DEFAULT_RESIDUES}', CAST(i + 1 AS INT), 1) AS token, CAST(4 + i AS INT) AS id FROM range({len(E.DEFAULT_RESIDUES)}) t(i))),
+x AS (SELECT group_name, protein_id, list_concat([0], {_IDS}, [2]) AS ids FROM fx_labelled, v)
+SELECT group_name, protein_id, CAST(len(ids) AS INT) AS n_tokens, md5(array_to_string(ids, ',')) AS ids_md5,
+       md5(array_to_string(ids, ',')) AS labels_md5, md5(array_to_string(list_concat(ids[2:], [-100]), ',')) AS shifted_md5 FROM x"""))
 def lm_targets(spark, sf_dir):
-    """Next-token targets: ids shifted by one, the last place without a target (-100)."""
+    """Labels are a copy of the input ids; beside them the shifted targets (the next id, -100 at the end)."""
     t = Tables(spark, sf_dir)
     lab = P.with_sequences(labelled(t), FX.fx_proteins(t), "sequence")
     ids, _, _ = E.encode_sequence("sequence", E.vocab_map(E.default_vocab(spark)))
-    x = lab.select("group_name", "protein_id", ids.alias("input_ids")).withColumn("labels", E.next_targets("input_ids"))
-    return x.select("group_name", "protein_id", F.size("input_ids").alias("n_tokens"),
-                    F.size(F.filter("labels", lambda v: v != -100)).alias("n_targets"))
+    x = staged(lab.select("group_name", "protein_id", ids.alias("input_ids")), "token-ids")
+    x = x.withColumn("labels", E.lm_labels("input_ids")).withColumn("shifted", E.next_targets("input_ids"))
+
+    def digest(c):
+        return F.md5(F.array_join(F.transform(c, lambda v: v.cast("string")), ","))
+
+    return x.select("group_name", "protein_id", F.size("input_ids").alias("n_tokens"), digest("input_ids").alias("ids_md5"),
+                    digest("labels").alias("labels_md5"), digest("shifted").alias("shifted_md5"))
 
 
 @query("duplicate_ids", """

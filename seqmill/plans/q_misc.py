@@ -332,16 +332,22 @@ def shifted_strings(spark, sf_dir):
 
 
 @query("sql_functions", """
+WITH el AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+rk AS (SELECT vec_id, i, rank() OVER (PARTITION BY vec_id ORDER BY x) + (count(*) OVER (PARTITION BY vec_id, x) - 1) / 2.0 AS r FROM el),
+sp AS (SELECT a.vec_id, corr(a.r, b.r) AS sp FROM rk a JOIN rk b ON b.vec_id = a.vec_id + 1 AND b.i = a.i GROUP BY a.vec_id)
 SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine,
-       round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS l2,
+       round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine_distance,
+       round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS l2, round(sp, 6) AS spearman,
        'b.' || a.vec_id AS stripped, 'XAXC' AS normal, 2 AS differing
-FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN sp ON sp.vec_id = a.vec_id""")
 def sql_functions(spark, sf_dir):
     """M5: the functions by their SQL names."""
     RG.register_functions(spark)
     Tables(spark, sf_dir)("embeddings").createOrReplaceTempView("seqmill_vectors")
     return spark.sql("""
-        SELECT a.vec_id, round(seq_cosine(a.embedding, b.embedding), 6) AS cosine, round(seq_l2_distance(a.embedding, b.embedding), 6) AS l2,
+        SELECT a.vec_id, round(seq_cosine(a.embedding, b.embedding), 6) AS cosine,
+               round(seq_cosine_distance(a.embedding, b.embedding), 6) AS cosine_distance,
+               round(seq_l2_distance(a.embedding, b.embedding), 6) AS l2, round(seq_spearman(a.embedding, b.embedding), 6) AS spearman,
                seq_strip_prefix(concat('a.b.', a.vec_id)) AS stripped, seq_normalize('UA-C') AS normal, seq_hamming('ABCD', 'AXCY') AS differing
         FROM seqmill_vectors a JOIN seqmill_vectors b ON b.vec_id = a.vec_id + 1""")
 
