@@ -32,14 +32,15 @@ def _folder(spark, name: str) -> str:
 # ---- sources and sinks: files are written from the given tables and read back ------
 
 @query("fasta_records", with_fx(["fx_seq"], """
-SELECT seq_id AS id, seq_id || ' ' || grp || ' ' || lang AS description, CAST(length(seq_str) AS INT) AS seq_len, md5(seq_str) AS seq_md5
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, seq_id AS id, seq_id || ' ' || grp || ' ' || lang AS description,
+       CAST(length(seq_str) AS INT) AS seq_len, md5(seq_str) AS seq_md5
 FROM fx_seq"""))
 def fasta_records(spark, sf_dir):
-    """FASTA files with plain headers, long sequences over many lines."""
+    """FASTA files with plain headers, long sequences over many lines, records numbered in file order."""
     path = _folder(spark, "fasta")
-    FS.write_fasta(FX.fx_seq(Tables(spark, sf_dir)), path, F.concat_ws(" ", "seq_id", "grp", "lang"), "seq_str")
+    FS.write_fasta(FX.fx_seq(Tables(spark, sf_dir)).orderBy("doc_id"), path, F.concat_ws(" ", "seq_id", "grp", "lang"), "seq_str")
     x = FS.read_fasta(spark, path)
-    return x.select("id", "description", F.length("sequence").alias("seq_len"), F.md5("sequence").alias("seq_md5"))
+    return x.select("ord", "id", "description", F.length("sequence").alias("seq_len"), F.md5("sequence").alias("seq_md5"))
 
 
 @query("tagged_fasta_records", with_fx(["fx_seq"], """

@@ -7,35 +7,95 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmill.session import ship
+from seqmill.operators.joins import broadcast_if_small
+from seqmill.operators.stats import value_ranks
+from seqmill.session import cut, ship, staged
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """``file, start, k, last, header, body``: each split's lines, joined by record.
+
+    A split is named by its file and first byte.  ``k`` counts the headers seen in it: lines before its first header
+    (k = 0, no header) belong to a record that began in an earlier split, and the last record may go on in later ones.
+    """
+    ship(spark)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("start"))
+
+    def run(batches):
+        name, k, header, body = None, 0, None, []
+
+        def piece(last):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name[0]]), pa.array([name[1]]), pa.array([k], pa.int32()), pa.array([last]), pa.array([header], pa.string()),
+                 pa.array(["".join(body)])], names=["file", "start", "k", "last", "header", "body"])
+
+        for b in batches:
+            starts = b.column("start").to_numpy()
+            files = b.column("file").to_pylist()
+            for i, line in enumerate(b.column("value").to_pylist()):
+                if name != (files[i], starts[i]):
+                    if name is not None:
+                        yield piece(True)
+                    name, k, header, body = (files[i], starts[i]), 0, None, []
+                if line.startswith(">"):
+                    if k or body:
+                        yield piece(False)
+                    k, header, body = k + 1, line[1:].rstrip(), []
+                else:
+                    body.append("".join(line.split()))
+        if name is not None:
+            yield piece(True)
+
+    return lines.mapInArrow(run, "file string, start long, k int, last boolean, header string, body string")
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, ord, h, sequence``: the records of FASTA files, numbered from 0 in order of file name and place.
+
+    Records that lie in one split are whole as they are; only what a split's edges cut, at most two pieces a
+    split, is brought together.  A split's first number comes from a running sum of the splits' headers.
+    """
+    pieces = staged(_pieces(spark, path), "fasta-pieces")
+    heads = pieces.groupBy("file", "start").agg(F.max("k").alias("n"))
+    place = F.concat("file", F.lit("\u0000"), F.lpad(F.col("start").cast("string"), 20, "0"))
+    before = value_ranks(heads.withColumn("place", place).select("place", F.col("n").alias("_w")), "place", "_w").select("place", "before")
+    heads = heads.withColumn("place", place).join(before, "place").select("file", "start", F.col("before").cast("long").alias("before"))
+    heads = cut(heads)
+    first = heads.groupBy("file").agg(F.min("before").alias("first"))  # one row a file
+    base = broadcast_if_small(heads.join(first, "file"))
+    x = pieces.join(base, ["file", "start"]).withColumn("ord", F.col("before") + F.col("k") - 1)
+    x = x.where(F.col("ord") >= F.col("first"))  # lines before a file's first header belong to no record
+    inner = x.where((F.col("k") > 0) & ~F.col("last")).select("file", "ord", F.col("header").alias("h"), F.col("body").alias("sequence"))
+    edge = x.where((F.col("k") == 0) | F.col("last")).groupBy("file", "ord").agg(
+        F.max("header").alias("h"), F.array_sort(F.collect_list(F.struct("start", "body"))).alias("p"))
+    edge = edge.select("file", "ord", "h", F.array_join(F.transform("p", lambda v: v["body"]), "").alias("sequence"))
+    return inner.unionByName(edge)
 
 
 def read_fasta(spark: SparkSession, path: str, header: str = "std", mode: str = "PERMISSIVE") -> DataFrame:
-    """(id, description, sequence, file, _corrupt) of FASTA files.
+    """(ord, id, description, sequence, file, _corrupt) of FASTA files.
 
-    Records are split at line starts with ``>`` by Spark's text reader, so large files
-    are read in parts; lines of a sequence are joined.  ``std``: id is the first word of
+    Files are read line by line in splits, so a record may be larger than a split; ``ord`` numbers the records
+    of all files in order of file name and place.  Lines of a sequence are joined.  ``std``: id is the first word of
     the header, description the whole header.  ``tagged``: header ``tag id description`` split at single
     spaces into three parts; one with fewer is kept with null id in ``_corrupt``, or
-    raises with mode ``FAILFAST``.  Records with an empty id are dropped.
+    raises with mode ``FAILFAST``.  Records with an empty id are dropped (their number stays unused).
     """
     if header not in ("std", "tagged") or mode not in ("PERMISSIVE", "FAILFAST"):
         raise ValueError("header is std or tagged, mode PERMISSIVE or FAILFAST")
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    rec = raw.select("file", F.regexp_replace("value", "^>", "").alias("r")).where(F.trim("r") != "")
-    line = F.rtrim(F.regexp_replace(F.substring_index("r", "\n", 1), "\r", ""))
-    body = F.when(F.contains("r", F.lit("\n")), F.substr("r", F.locate("\n", F.col("r")) + 1)).otherwise("")
-    x = rec.select("file", line.alias("h"), F.regexp_replace(body, r"\s", "").alias("sequence"))
+    x = _records(spark, path)
     if header == "std":
-        return x.select(F.split("h", r"\s+")[0].alias("id"), F.col("h").alias("description"), "sequence", "file",
+        return x.select("ord", F.split("h", r"\s+")[0].alias("id"), F.col("h").alias("description"), "sequence", "file",
                         F.lit(None).cast("string").alias("_corrupt")).where(F.col("id") != "")
     parts = F.split("h", " ", 3)
     bad = F.size(parts) < 3
     corrupt = F.when(bad, F.raise_error(F.concat(F.lit("bad FASTA header: "), "h")).cast("string") if mode == "FAILFAST" else F.col("h"))
-    out = x.select(F.when(~bad, F.get(parts, F.lit(1))).alias("id"), F.when(~bad, F.get(parts, F.lit(2))).alias("description"),
+    out = x.select("ord", F.when(~bad, F.get(parts, F.lit(1))).alias("id"), F.when(~bad, F.get(parts, F.lit(2))).alias("description"),
                    "sequence", "file", corrupt.alias("_corrupt"))
     return out.where(F.col("_corrupt").isNotNull() | (F.col("id") != ""))
 
