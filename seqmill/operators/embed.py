@@ -86,6 +86,29 @@ def embed_sequences(seqs: DataFrame, make_predict: Callable[[], Callable], layer
             rows.where("message is not null").select("seq_id", "message"))
 
 
+def embed_into(seqs: DataFrame, make_predict: Callable[[], Callable], folder: str, chunks: int = 4, **options) -> tuple[DataFrame, DataFrame]:
+    """M1 with its own sink: (vectors, errors) that ``folder`` holds after ``embed_sequences`` of all ``seqs`` that it lacks.
+
+    Ids are dealt into ``chunks`` by hash and each chunk is one commit of vectors and errors, so a job that is stopped keeps its
+    finished chunks, and a later one goes on with the ids that no commit has.  Ids with an error are not tried again.
+    """
+    from seqmill.sources.commits import commit, committed
+
+    spark = seqs.sparkSession
+    for c in range(chunks):
+        part = seqs.where(F.pmod(F.xxhash64("seq_id"), F.lit(chunks)) == c)
+        done = committed(spark, folder)
+        vectors, errors = embed_sequences(part, make_predict, done=done, **options)
+        rows = vectors.withColumn("message", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+        if not rows.isEmpty():
+            commit(rows, folder)
+    rows = committed(spark, folder)
+    if rows is None:
+        rows = spark.createDataFrame([], "seq_id string, layer int, n long, vec array<double>, message string, commit string")
+    return (rows.where("message is null").select("seq_id", "layer", "n", "vec"),
+            rows.where("message is not null").select("seq_id", "message"))
+
+
 def kmer_embed(seqs: DataFrame, k: int = 3, dim: int = 64) -> DataFrame:
     """M2: (seq_id, dim, value): hashed k-mer counts of whole sequences, scaled to unit length, in long form
     (only places that aren't zero)."""

@@ -88,15 +88,18 @@ def _vector_rows(t: Tables):
 
 @query("npy_vectors", """
 SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS model, 'V' || CAST(vec_id AS VARCHAR) AS seq_id, CAST(h AS INT) AS pos,
-       round(list_sum(list_transform(list_slice(embedding, h * 32 + 1, h * 32 + 32), lambda x: CAST(x AS DOUBLE))), 5) AS total
+       round(list_sum(list_transform(list_slice(embedding, h * (len(embedding) // 2) + 1, CASE WHEN h = 0 THEN len(embedding) // 2
+             ELSE len(embedding) END), lambda x: CAST(x AS DOUBLE))), 5) AS total
 FROM embeddings, range(2) t(h)""")
 def npy_vectors(spark, sf_dir):
-    """One .npy matrix (two rows of 32) for each vector, written and read back."""
+    """One .npy matrix (two rows, the vector's halves) for each vector, written, one model again, and read back."""
     path = _folder(spark, "npy")
+    half = F.floor(F.size("embedding") / 2).cast("int")
     rows = _vector_rows(Tables(spark, sf_dir)).select("model", "seq_id", F.array(
-        F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("rows"))
-    cut(FS.write_npy(rows, path))
-    x = FS.read_npy_vectors(spark, path)
+        F.slice("embedding", F.lit(1), half), F.slice("embedding", half + 1, F.size("embedding"))).alias("rows"))
+    FS.write_npy(rows, path)
+    FS.write_npy(rows.where("model = 'low'"), path)
+    x = FS.read_committed_npy(spark, path)
     return x.select("model", "seq_id", "pos", F.round(F.aggregate(
         "vec", F.lit(0.0), lambda s, v: s + v.cast("double")), 5).alias("total"))
 
@@ -115,13 +118,13 @@ def vector_sink(spark, sf_dir):
 @query("result_sink", """
 SELECT label, count(*) * 2 AS n FROM embeddings GROUP BY label""")
 def result_sink(spark, sf_dir):
-    """Results appended twice; every row is there twice and no header among them."""
+    """Results appended twice, the second append repeated: every row is there twice, the header once."""
     path = _folder(spark, "results")
     r = Tables(spark, sf_dir)("embeddings").select("label", "vec_id")
     FS.append_results(r, path)
-    FS.append_results(r, path)
-    x = spark.read.option("sep", "\t").option("header", True).schema("label int, vec_id long").csv(path)
-    return x.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    FS.append_results(r, path, "again")
+    FS.append_results(r, path, "again")  # a repeated job
+    return FS.read_results(spark, path, "label int, vec_id long").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- evaluation pairs ------------------------------------------------------------
@@ -256,8 +259,10 @@ l AS (SELECT seq_id, CAST('0x' || substr(md5(substr(seq_str, i + 1, 1)), 1, 8) A
 WITH {_LETTERS.strip()}
 SELECT seq_id, 2 AS layer, CAST(n AS BIGINT) AS n, CAST(dim AS INT) AS dim, round(2.0 * count(*) / n, 6) AS value FROM l GROUP BY seq_id, n, dim"""))
 def embedding_job(spark, sf_dir):
-    """Batch embedding of whole sequences, the last layer pooled."""
-    v, _ = EM.embed_sequences(FX.fx_seq(Tables(spark, sf_dir)), _letter_model)
+    """Batch embedding of whole sequences into a sink, the last layer pooled; the second call finds all done."""
+    path, seqs = _folder(spark, "embedded"), FX.fx_seq(Tables(spark, sf_dir))
+    EM.embed_into(seqs, _letter_model, path)
+    v, _ = EM.embed_into(seqs, _letter_model, path)
     x = v.select("seq_id", "layer", "n", F.posexplode("vec").alias("dim", "value")).where("value > 0")
     return x.select("seq_id", "layer", "n", "dim", F.round("value", 6).alias("value"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import time
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from seqmill.operators.joins import broadcast_if_small
 from seqmill.operators.stats import value_ranks
 from seqmill.session import cut, ship, staged
+from seqmill.sources.commits import commit, commits, committed, latest
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -142,12 +145,19 @@ def read_vectors(spark: SparkSession, path: str, models=None) -> DataFrame:
     return x.where(F.col("model").isin(*models)) if models else x
 
 
-def write_npy(df: DataFrame, folder: str) -> DataFrame:
-    """One ``<model>/<seq_id>.npy`` file for each row of (model, seq_id, rows array<array>) in a shared
-    folder; returns (path, bytes)."""
+def write_npy(df: DataFrame, folder: str) -> str:
+    """One ``.npy`` file for each row of (model, seq_id, rows array<array>) in a shared folder, and one commit
+    that lists them; returns the commit's name.
+
+    Every attempt of a task writes files of its own names, and only those of finished tasks are listed, so a
+    repeated, killed or half-done task leaves nothing that a reader sees.  A vector that is written again
+    replaces the earlier one.
+    """
     ship(df.sparkSession)
 
     def run(frames):
+        from urllib.parse import quote
+
         from pyarrow import fs
         at, root = fs.FileSystem.from_uri(folder)
         for pdf in frames:
@@ -155,13 +165,35 @@ def write_npy(df: DataFrame, folder: str) -> DataFrame:
             for model, seq, rows in zip(pdf["model"], pdf["seq_id"], pdf["rows"]):
                 buf = io.BytesIO()
                 np.save(buf, np.array([np.asarray(r, np.float32) for r in rows]))
-                at.create_dir(f"{root}/{model}", recursive=True)
-                with at.open_output_stream(f"{root}/{model}/{seq}.npy") as f:
+                where = f"data/{quote(model, safe='')}/{quote(seq, safe='')}.{uuid.uuid4().hex}.npy"
+                at.create_dir(f"{root}/{where.rpartition('/')[0]}", recursive=True)
+                with at.open_output_stream(f"{root}/{where}") as f:
                     f.write(buf.getvalue())
-                out.append((f"{model}/{seq}.npy", buf.tell()))
-            yield pd.DataFrame(out, columns=["path", "bytes"])
+                out.append((model, seq, where, buf.tell()))
+            yield pd.DataFrame(out, columns=["model", "seq_id", "path", "bytes"])
+
+    return commit(df.select("model", "seq_id", "rows").mapInPandas(run, "model string, seq_id string, path string, bytes long"), folder)
+
+
+def read_committed_npy(spark: SparkSession, folder: str) -> DataFrame:
+    """(model, seq_id, pos, vec) of the matrices that the commits of ``write_npy`` list."""
+    ship(spark)
+    listed = committed(spark, folder)
+    if listed is None:
+        return spark.createDataFrame([], "model string, seq_id string, pos int, vec array<float>")
 
-    return df.mapInPandas(run, "path string, bytes long")
+    def run(frames):
+        from pyarrow import fs
+        at, root = fs.FileSystem.from_uri(folder)
+        for pdf in frames:
+            for model, seq, where in zip(pdf["model"], pdf["seq_id"], pdf["path"]):
+                with at.open_input_stream(f"{root}/{where}") as f:
+                    m = np.load(io.BytesIO(f.read()), allow_pickle=False)
+                yield pd.DataFrame({"model": model, "seq_id": seq, "pos": pd.array(range(len(m)), "Int32"),
+                                    "vec": [r.astype(np.float32) for r in m]})
+
+    rows = latest(listed, ["model", "seq_id"]).select("model", "seq_id", "path")
+    return rows.mapInPandas(run, "model string, seq_id string, pos int, vec array<float>")
 
 
 def read_npy_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -184,6 +216,31 @@ def read_npy_vectors(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "model string, seq_id string, pos int, vec array<float>")
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Add rows to a result table (TSV; every part has the header, readers see it once)."""
-    df.write.mode("append").option("sep", "\t").option("header", True).csv(path)
+def append_results(df: DataFrame, path: str, name: str | None = None) -> str:
+    """Add rows to a result table as one commit; returns its name.
+
+    The parts are TSV without a header; the header is one file of its own.  An append under a ``name`` that is
+    there already replaces it, so a job that is repeated does not add its rows twice; one that was
+    stopped adds nothing.
+    """
+    name = name or f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("sep", "\t").csv(f"{path.rstrip('/')}/commits/{name}")
+    head = spark.range(1).select(F.lit("\t".join(df.columns)).alias("value")).coalesce(1)
+    head.write.mode("overwrite").text(f"{path.rstrip('/')}/header")
+    return name
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a result table's finished appends; columns of ``schema`` are found by the header's names."""
+    from pyspark.sql.types import StructType
+
+    names = commits(spark, path)
+    want = StructType.fromDDL(schema)
+    if not names:
+        return spark.createDataFrame([], want)
+    columns = spark.read.text(f"{path.rstrip('/')}/header").first()["value"].split("\t")
+    kinds = {f.name: f.dataType for f in want}
+    x = spark.read.option("sep", "\t").schema(", ".join(f"`{c}` string" for c in columns)).csv(
+        [f"{path.rstrip('/')}/commits/{n}" for n in names])
+    return x.select(*[F.col(c).cast(kinds[c]).alias(c) for c in want.names])
