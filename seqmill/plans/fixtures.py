@@ -102,8 +102,11 @@ def n_vectors(t: Tables) -> int:
 
 def fx_residues(t: Tables) -> DataFrame:
     """(seq_id, grp, pos, aa) for every residue of every sequence."""
-    s = fx_seq(t)
-    return s.where("seq_str <> ''").select("seq_id", "grp", F.posexplode(F.split("seq_str", "")).alias("pos", "aa"))
+    s = fx_seq(t).select("seq_id", "grp", "seq_str").where("seq_str <> ''")
+    spark = s.sparkSession
+    # a text becomes a row a letter, so texts are dealt out before (their file may be a single split)
+    s = s.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "seq_id")
+    return s.select("seq_id", "grp", F.posexplode(F.split("seq_str", "")).alias("pos", "aa"))
 
 
 def fx_residue_vec(t: Tables) -> DataFrame:
