@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqmill.llm.common import chunks, cut, ship, small, text_bytes, words
+from seqmill.llm.common import chunks, cut, ship, small, text_bytes
 from seqmill.llm.tokens import encoder
 
 
@@ -24,20 +24,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        enc, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        enc = encoder(tokenizer_path)
         for batch in batches:
-            for part in chunks(batch, "t", 2 << 20):
-                lists = [words(t.as_py()) for t in part.column("t")]
-                enc.prepare(lists)
+            for part in chunks(batch, "t", 4 << 20):
+                all_ids, bounds = enc.texts(part.column("t"), end_id)
+                bounds = bounds.tolist()
                 src, no, start, length, crc = [], [], [], [], []
-                for i, ws in enumerate(lists):
-                    ids = enc.ids(ws) + end
-                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cutout = ids[at:at + 4 * capacity]
+                for i, (first, end) in enumerate(zip(bounds, bounds[1:])):
+                    for p, at in enumerate(range(first, end, capacity)):
+                        cutout = all_ids[at:min(at + capacity, end)]
                         src.append(i)
                         no.append(p)
-                        start.append(at // 4)
-                        length.append(len(cutout) // 4)
+                        start.append(at - first)
+                        length.append(len(cutout))
                         crc.append(zlib.crc32(cutout))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("k").take(pa.array(src, pa.int64())), pa.array(no, pa.int32()),

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqmill.llm.common import chunks, cut, filesystem, shared_path, ship, text_bytes, words, written
+from seqmill.llm.common import chunks, cut, filesystem, shared_path, ship, text_bytes, written
 from seqmill.llm.tokens import encoder
 
 #: Data bytes of the four ids of each control byte.
@@ -59,42 +59,32 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, key: str = "doc_id",
               text: str = "text") -> DataFrame:
-    """``kind, k, ids``: kind 0 has a document's ids (two or four bytes each), kind 1 counts of ids of a task."""
+    """``width, k, ids``: a document's ids at two or four bytes each (``width``), or the counts of ids of a task (0)."""
     ship(docs.sparkSession)
 
     def run(batches):
-        enc, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
-        counts = np.zeros(1 << 16, np.int64)
+        enc, counts = encoder(tokenizer_path), np.zeros(1 << 16, np.int64)
 
-        def rows(kind, k, ids):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(k), pa.int32()), k, pa.array(ids, pa.binary())],
-                                              names=["kind", "k", "ids"])
+        def rows(width, k, ids):
+            return pa.RecordBatch.from_arrays([pa.array([width] * len(k), pa.int32()), k, ids], names=["width", "k", "ids"])
 
         for batch in batches:
-            for part in chunks(batch, "t", 2 << 20):
-                lists = [words(t.as_py()) for t in part.column("t")]
-                enc.prepare(lists)
-                ids = [enc.ids(ws) + end for ws in lists]
-                got = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+            for part in chunks(batch, "t", 4 << 20):
+                ids, bounds = enc.texts(part.column("t"), end_id)
+                got = np.bincount(ids)
                 if len(got) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(got) - len(counts), np.int64)])
                 counts[:len(got)] += got
-                yield rows(0, part.column("k"), [_narrow(x) for x in ids])
+                width = 2 if len(got) <= 1 << 16 else 4
+                column = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), part.num_rows,
+                    [None, pa.py_buffer((bounds * width).astype("<i8")), pa.py_buffer(ids.astype(f"<u{width}"))])
+                yield rows(width, part.column("k"), column.cast(pa.binary()))
         if counts.any():
-            yield rows(1, pa.nulls(1, pa.int64()), [counts.astype("<i8").tobytes()])
+            yield rows(0, pa.nulls(1, pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary()))
 
     return docs.select(F.col(key).cast("long").alias("k"), text_bytes(text).alias("t")).mapInArrow(
-        run, "kind int, k long, ids binary")
-
-
-def _narrow(ids: bytes) -> bytes:
-    """A width byte, then the ids in two bytes each if all fit, else in four."""
-    a = np.frombuffer(ids, "<u4")
-    return b"\2" + a.astype("<u2").tobytes() if a.max(initial=0) < 1 << 16 else b"\4" + ids
-
-
-def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype(np.uint32)
+        run, "width int, k long, ids binary")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
@@ -106,7 +96,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
                 i = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n[i])], names=["i", "n"])
 
-    rows = tokens.where("kind = 1").select("ids").mapInArrow(run, "i long, n long").groupBy("i").agg(
+    rows = tokens.where("width = 0").select("ids").mapInArrow(run, "i long, n long").groupBy("i").agg(
         F.sum("n").alias("n")).collect()
     out = np.zeros(max((r["i"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
@@ -153,14 +143,14 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
 
         name, held = None, 0
         for b in batches:
-            for k, ids in zip(b.column("k").to_pylist(), b.column("ids")):
+            for k, width, ids in zip(b.column("k").to_pylist(), b.column("width").to_pylist(), b.column("ids")):
                 if out is None:
                     at, where = filesystem(folder)
                     no = TaskContext.get().partitionId()
                     name = f"part-{no:06d}-{uuid.uuid4().hex}.frv"
                     out = at.open_output_stream(f"{where}/{name}")
                 keys.append(k)
-                parts.append(_wide(ids.as_py()))
+                parts.append(np.frombuffer(ids.as_buffer(), f"<u{width}").astype(np.uint32))
                 held += len(parts[-1])
                 if held >= block_ids:
                     flush()
@@ -173,7 +163,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
                 [pa.array([no], pa.int32()), pa.array([name]), *[pa.array([int(x)], pa.int64()) for x in sums]],
                 names=["part", "file", "documents", "ids", "bytes"])
 
-    ordered = tokens.where("kind = 0").select("k", "ids").repartitionByRange("k").sortWithinPartitions("k")
+    ordered = tokens.where("width > 0").repartitionByRange("k").sortWithinPartitions("k")
     return cut(ordered.mapInArrow(run, "part int, file string, documents long, ids long, bytes long"))
 
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -472,6 +473,23 @@ def test_pages_keep_all_words(spark):
 
 # ---- 10 token files
 
+@pytest.mark.parametrize("keep", [200_000, 40])
+def test_texts_of_a_column_equal_the_library(keep):
+    tok = __import__("tokenizers").Tokenizer.from_file(VOCAB)
+    rnd = random.Random(3)
+    parts = ["a", "B", "É", "é", "ß", "×", "÷", "ÿ", "Ÿ", "œ", "İ", "1", "2", "'s", "'t", "'", "’", "<|", "<", ">", "!", "..",
+             "\t", "\n", " ", " ", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "日", "e\u0301", "\x00", "Þ", "'LL", "<|endoftext|>", "🙂"]
+    texts = ["", "  ", " a", "b ", "word " * 3000] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    enc = tokens.WordEncoder(VOCAB, keep=keep)
+    for at, n in ((0, len(texts)), (100, 7), (0, 1), (5, 0)):
+        ids, bounds = enc.texts(column.slice(at, n), 1)
+        assert len(bounds) == n + 1 and bounds[-1] == len(ids)
+        for i in range(n):
+            want = tok.encode(texts[at + i], add_special_tokens=False).ids + [1]
+            assert ids[bounds[i]:bounds[i + 1]].tolist() == want, repr(texts[at + i])
+
+
 def test_word_encoder_equals_the_library():
     tok = __import__("tokenizers").Tokenizer.from_file(VOCAB)
     r = random.Random(6)
