@@ -28,12 +28,14 @@ def select_layers(vectors: DataFrame, layers: list[int] | None = None) -> DataFr
 
 
 def embed_sequences(seqs: DataFrame, make_predict: Callable[[], Callable], layers: list[int] | None = None,
-                    batch: int = 16, done: DataFrame | None = None, max_len: int | None = None) -> tuple[DataFrame, DataFrame]:
+                    batch: int = 16, done: DataFrame | None = None, max_len: int | None = None,
+                    strip: bool = True) -> tuple[DataFrame, DataFrame]:
     """M1: (vectors, errors) of ``seqs(seq_id, seq_str)``.
 
     ``make_predict()`` runs once in each worker task and returns ``predict(list of str)`` ->
     a list of ``{layer: array (L + 2, D)}``.  The first and last rows (boundary tokens)
-    are dropped, the layers asked for (default: the last) pooled to their mean.
+    are dropped, the layers asked for (default: the last) pooled to their mean;
+    without ``strip`` the boundary rows count in the mean, and ``n`` counts them too.
     ``vectors(seq_id, layer, n, vec)``; ``errors(seq_id, message)`` has sequences that
     are null, empty, longer than ``max_len``, whose row count is not their length (Q1), or on which the model
     failed; the others of a failing batch are tried one by one.  Ids in ``done`` are skipped, so a
@@ -49,9 +51,10 @@ def embed_sequences(seqs: DataFrame, make_predict: Callable[[], Callable], layer
     def pooled(seq, by_layer):
         wanted = [max(by_layer)] if layers is None else layers
         for layer in wanted:
-            m = np.asarray(by_layer[layer], np.float64)[1:-1]
-            if len(m) != len(seq):
-                raise ValueError(f"{len(m)} vectors for {len(seq)} residues")
+            m = np.asarray(by_layer[layer], np.float64)
+            if len(m) - 2 != len(seq):
+                raise ValueError(f"{max(len(m) - 2, 0)} vectors for {len(seq)} residues")
+            m = m[1:-1] if strip else m
             yield layer, len(m), m.mean(0).tolist()
 
     def run(frames):

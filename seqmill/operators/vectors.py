@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmill.functions import vector as V
-from seqmill.session import ship
+from seqmill.operators.joins import attach_by_key
+from seqmill.session import cut, ship
 
 
 def vector_sums(rows: DataFrame, key: list[str], vec: str) -> DataFrame:
@@ -79,6 +80,16 @@ def group_cohesion(df: DataFrame, key, vec: str = "vec", digits: int = 6) -> Dat
         "mean_cosine", "mean_spearman")
 
 
+def inner_places(df: DataFrame, key: list[str], pos: str = "pos") -> DataFrame:
+    """Rows whose place is neither the first nor the last of their key.
+
+    The last places are a row a key: broadcast if small; else frequent keys are, and the others are shuffled.
+    """
+    ends = cut(df.groupBy(*key).agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"), F.count(F.lit(1)).alias("_rows")))
+    inner = (F.col(pos) > F.col("_first")) & (F.col(pos) < F.col("_last"))
+    return attach_by_key(df, ends, key, "_rows").where(inner).drop("_first", "_last", "_rows")
+
+
 def mean_pool_long(df: DataFrame, key, vec: str = "vec") -> DataFrame:
     """Per-key mean vector in long form (key, dim, value): exact and scalable."""
     key = [key] if isinstance(key, str) else list(key)
@@ -86,9 +97,15 @@ def mean_pool_long(df: DataFrame, key, vec: str = "vec") -> DataFrame:
     return e.groupBy(*key, "dim").agg(F.avg(F.col("_x").cast("double")).alias("value"))
 
 
-def mean_pool(df: DataFrame, key, vec: str = "vec") -> DataFrame:
-    """Per-key mean vector as ARRAY<DOUBLE> (reassembled in dimension order)."""
+def mean_pool(df: DataFrame, key, vec: str = "vec", strip: bool = False, pos: str = "pos") -> DataFrame:
+    """V3: per-key mean vector as ARRAY<DOUBLE> (reassembled in dimension order).
+
+    With ``strip`` the first and the last place (``pos``) of each key are boundary
+    rows and left out; a key that has nothing else has no mean and no row.
+    """
     key = [key] if isinstance(key, str) else list(key)
+    if strip:
+        df = inner_places(df, key, pos)
     lp = mean_pool_long(df, key, vec)
     return (lp.groupBy(*key)
               .agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_s"))

@@ -8,6 +8,7 @@ from seqmill.functions import encode as E
 from seqmill.functions import strings as S
 from seqmill.operators import prep as P
 from seqmill.operators import sampling as SM
+from seqmill.operators.stats import value_ranks
 from seqmill.plans import fixtures as FX
 from seqmill.plans.oracle_fx import with_fx
 from seqmill.plans.registry import query
@@ -168,6 +169,27 @@ def encoded_padded(spark, sf_dir):
                       F.size(ids).alias("n_ids"), dropped.alias("n_dropped"))
 
 
+@query("encoded_words", """
+WITH w AS (SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM (
+  SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+n AS (SELECT token, count(*) AS c FROM w GROUP BY token),
+v AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM n WHERE c >= 2),
+e AS (SELECT w.doc_id, string_agg(CAST(coalesce(v.id, 3) AS VARCHAR), ',' ORDER BY w.pos) AS ids, count(*) AS n,
+             count(*) FILTER (WHERE v.id IS NULL) AS unknown FROM w LEFT JOIN v USING (token) GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(coalesce(e.n, 0) + 2 AS INT) AS n_tokens, CAST(coalesce(e.unknown, 0) AS INT) AS n_unknown,
+       md5('0,' || coalesce(e.ids || ',', '') || '2') AS ids_md5 FROM documents d LEFT JOIN e USING (doc_id)""")
+def encoded_words(spark, sf_dir):
+    """X4 by join: whole documents in ids of a vocabulary that grows with them (all words that occur twice or more)."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = Tables(spark, sf_dir)("documents").select("doc_id", words.alias("words"))
+    often = docs.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    vocab = value_ranks(often, "token").select("token", (F.col("before") + 4).alias("id"))
+    x = E.encode_tokens(docs, "doc_id", "words", vocab)
+    return x.select("doc_id", F.size("input_ids").alias("n_tokens"),
+                    F.size(F.filter("input_ids", lambda i: i == E.DEFAULT_SPECIALS["unk"])).alias("n_unknown"),
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
 @query("label_one_hot", with_fx(["fx_labelled"], f"""
 WITH {_CLS.strip()}
 SELECT labels, label_code, CAST((SELECT count(*) FROM codes) AS INT) AS size, [label_code] AS indices, [1.0::DOUBLE] AS "values"

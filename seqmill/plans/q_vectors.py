@@ -56,6 +56,23 @@ def mean_pool(spark, sf_dir):
     return lp.select("label", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
 
 
+@query("boundary_pools", """
+WITH e AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS a,
+                  row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS z FROM embeddings),
+x AS (SELECT label, a > 1 AND z > 1 AS inside, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM e)
+SELECT label, CAST(i - 1 AS INT) AS dim, round(avg(v), 6) AS with_boundary, round(avg(v) FILTER (WHERE inside), 6) AS stripped
+FROM x GROUP BY label, i""")
+def boundary_pools(spark, sf_dir):
+    """V3 both ways: means of each label's vectors in order of their ids, with the first and the last one and without."""
+    e = Tables(spark, sf_dir)("embeddings").select("label", "vec_id", F.col("embedding").alias("vec"))
+
+    def long(strip, name):
+        x = OV.mean_pool(e, "label", "vec", strip, "vec_id").select("label", F.posexplode("vec").alias("dim", "v"))
+        return x.select("label", "dim", F.round("v", 6).alias(name))
+
+    return long(False, "with_boundary").join(long(True, "stripped"), ["label", "dim"], "left")
+
+
 PAIR_METRICS_SQL = f"""
 WITH {_RANKS},
 sp AS (SELECT a.vec_id AS v1, b.vec_id AS v2,

@@ -14,10 +14,12 @@ from seqmill.operators import align as A
 from seqmill.operators import cluster as C
 from seqmill.operators import embed as EM
 from seqmill.operators import evaluation as EV
+from seqmill.operators import joins as J
 from seqmill.operators import prep as P
 from seqmill.operators import residues as R
 from seqmill.operators import sampling as SM
 from seqmill.operators import stats as ST
+from seqmill.operators import vectors as OV
 from seqmill.sources import files as FS
 
 
@@ -90,6 +92,50 @@ def test_encode_whole_or_counted(spark):
     assert list(t) == [4, 5, 6, 2, -100]
 
 
+def test_encode_tokens_equals_the_map(spark):
+    df = spark.createDataFrame([(1, ["L", "A", "A", "?"], "x"), (2, [], "y"), (3, None, None), (4, ["G", None, "L"], "x"),
+                                (5, ["L"] * 3000, "z")], "k long, token array<string>, _map string")
+    voc = E.default_vocab(spark)
+    for most in (None, 4):
+        got = {r.k: r for r in E.encode_tokens(df, "k", "token", voc, most).collect()}
+        assert got[1]._map == "x" and list(got[2].input_ids)[:2] == [0, 2]
+        for k, ts in ((1, "LAA?"), (2, ""), (3, ""), (4, "G?L"), (5, "L" * 3000)):
+            ids = [4 + E.DEFAULT_RESIDUES.index(c) if c != "?" else 3 for c in ts]
+            want = [0, *(ids if most is None else ids[:2]), 2]
+            pad = 0 if most is None else most - len(want)
+            assert list(got[k].input_ids) == want + [1] * pad and list(got[k].attention_mask) == [1] * len(want) + [0] * pad
+            assert got[k].n_dropped == len(ts) + 2 - len(want)
+    assert E.encode_tokens(df.limit(0), "k", "token", voc).count() == 0
+    with pytest.raises(ValueError):
+        E.vocab_map(voc, most=5)
+
+
+def test_pools_with_and_without_boundary_rows(spark):
+    rows = [(k, p, [float(p * p + i) for i in range(3)]) for k, n in (("a", 5), ("b", 2), ("c", 1)) for p in range(n)]
+    df = spark.createDataFrame(rows, "k string, pos int, vec array<double>")
+    both = {r.k: list(r.vec) for r in OV.mean_pool(df, "k").collect()}
+    inner = {r.k: list(r.vec) for r in OV.mean_pool(df, "k", strip=True).collect()}
+    assert both == {"a": [6.0, 7.0, 8.0], "b": [0.5, 1.5, 2.5], "c": [0.0, 1.0, 2.0]}
+    assert set(inner) == {"a"} and inner["a"] == pytest.approx([14 / 3, 17 / 3, 20 / 3])
+
+
+def test_embedding_job_pools_boundary_rows_on_demand(spark):
+    def make():
+        return lambda texts: [{0: np.arange(len(t) + 2, dtype=float)[:, None] ** 2} for t in texts]
+
+    df = spark.createDataFrame([("s", "LAG")], "seq_id string, seq_str string")
+    for strip, n, mean in ((True, 3, 14 / 3), (False, 5, 6.0)):
+        r = EM.embed_sequences(df, make, strip=strip)[0].first()
+        assert r.n == n and list(r.vec) == pytest.approx([mean])
+
+
+def test_numbered_groups_with_and_without_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"g{i % 7}") for i in range(300)], "id long, grp string")
+    want = sorted(map(tuple, EV.numbered(df, "id", "grp").collect()))
+    monkeypatch.setattr(EV, "attach_by_key", lambda r, t, on, count: J.attach_by_key(r, t, on, count, 50, 0))
+    assert sorted(map(tuple, EV.numbered(df, "id", "grp").collect())) == want and len(want) == 300
+
+
 # ---- statistics
 
 def test_statistics_of_odd_columns(spark):
