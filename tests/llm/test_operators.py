@@ -188,12 +188,12 @@ def test_pair_counts_against_a_counter(spark, monkeypatch, task_pairs):
         name = (keys >> np.uint64(low)).astype(np.int64)
         for b in np.unique(name):
             at = name == b
-            rows.append((chunk, int(b), int(at.sum()), ctxmix._packed_keys(keys[at]), ctxmix._packed(counts[at])))
+            rows.append((chunk, int(b), int(at.sum()), ctxmix._packed_keys(keys[at]), ctxmix._packed_counts(counts[at])))
     ctxmix.ship(spark)
     df = spark.createDataFrame(rows, "chunk long, bucket long, n long, keys binary, counts binary")
     got = {}
     for x in ctxmix.pair_counts(df).orderBy("chunk", "bucket").collect():
-        got.setdefault(x.chunk, []).append(np.frombuffer(x.totals, "<f4"))
+        got.setdefault(x.chunk, []).append(np.frombuffer(zlib.decompress(x.totals), "<f4"))
     for chunk, keys in chunks_.items():
         assert np.concatenate(got[chunk]).tolist() == [want[k] for k in keys.tolist()]
 
