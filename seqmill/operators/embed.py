@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqmill.session import ship
@@ -14,7 +16,8 @@ from seqmill.session import ship
 
 def strip_boundary(vectors: DataFrame, key: list[str]) -> DataFrame:
     """Drop the first and the last place of each key's vectors and number the rest from 0."""
-    n = vectors.groupBy(*key).agg(F.max("pos").alias("_n"))
+    # the table of ends has a row a key and is the one that is hashed: vectors dealt out by key are neither sorted nor shuffled
+    n = vectors.groupBy(*key).agg(F.max("pos").alias("_n")).hint("shuffle_hash")
     return vectors.join(n, key).where((F.col("pos") > 0) & (F.col("pos") < F.col("_n"))).withColumn(
         "pos", F.col("pos") - 1).drop("_n")
 
@@ -115,19 +118,70 @@ def embed_into(seqs: DataFrame, make_predict: Callable[[], Callable], folder: st
 def kmer_embed(seqs: DataFrame, k: int = 3, dim: int = 64) -> DataFrame:
     """M2: (seq_id, dim, value): hashed k-mer counts of whole sequences, scaled to unit length, in long form
     (only places that aren't zero)."""
-    n = F.length("seq_str") - (k - 1)
-    kmers = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col("seq_str"), i, F.lit(k)))
-    x = seqs.where(F.length("seq_str") >= k).select("seq_id", F.explode(kmers).alias("w"))
-    x = x.groupBy("seq_id", "w").agg(F.count(F.lit(1)).alias("c"))
-    x = x.withColumn("dim", F.pmod(F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
-    x = x.groupBy("seq_id", "dim").agg(F.sum("c").alias("c"))
-    norm = x.groupBy(F.col("seq_id").alias("_s")).agg(F.sqrt(F.sum(F.col("c").cast("double") * F.col("c"))).alias("_n"))
-    return x.join(norm, F.col("seq_id") == F.col("_s")).select("seq_id", "dim", (F.col("c") / F.col("_n")).alias("value"))
+    ship(seqs.sparkSession)
+    kind = dict(seqs.dtypes)["seq_id"]
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                row, d, c = _kmer_counts(part.column("seq_str").to_pylist(), k, dim, known)
+                yield pa.RecordBatch.from_arrays([part.column("seq_id").take(pa.array(row)), pa.array(d.astype(np.int32)),
+                                                  pa.array(c.astype(np.int64))], names=["seq_id", "dim", "c"])
+
+    x = seqs.where(F.col("seq_id").isNotNull() & (F.length("seq_str") >= k)).select("seq_id", "seq_str")
+    x = _dealt(x).mapInArrow(run, f"seq_id {kind}, dim int, c long")  # k-mers are counted before anything is shuffled
+    x = x.repartition("seq_id").groupBy("seq_id", "dim").agg(F.sum("c").alias("c"))
+    norm = F.sqrt(F.sum(F.col("c").cast("double") * F.col("c")).over(Window.partitionBy("seq_id")))  # at most dim rows
+    return x.select("seq_id", "dim", (F.col("c") / norm).alias("value"))
+
+
+def _kmer_counts(texts: list[str], k: int, dim: int, known: dict[str, int]):
+    """(row, dim, count), only counts that aren't zero: k-mers are numbers of the letters that occur, each hashed once."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    size = np.array([len(t) for t in texts])
+    rows = np.repeat(np.arange(len(texts)), size)
+    there = np.zeros(int(codes.max()) + 1, bool)
+    there[codes] = True
+    letters, number = np.flatnonzero(there), np.cumsum(there) - 1
+    letter = number[codes]
+    windows = len(codes) - k + 1
+    key, first = np.zeros(windows, np.int64), np.zeros(1, np.int64)
+    names = [""]  # the k-mers so far, by number
+    for i in range(k):
+        key = key * len(letters) + letter[i:i + windows]
+        first = np.unique(key) if len(names) * len(letters) > 1 << 20 else np.flatnonzero(np.bincount(key))
+        names = [names[n // len(letters)] + chr(letters[n % len(letters)]) for n in first.tolist()]
+        key = np.searchsorted(first, key) if len(names) > 1 << 20 else _renumbered(key, first)
+    inside = rows[:windows] == rows[k - 1:]
+    if len(known) > 1 << 20:
+        known.clear()
+    for w in names:
+        if w not in known:
+            known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
+    place = rows[:windows][inside] * dim + np.array([known[w] for w in names])[key[inside]]
+    counts = np.bincount(place, minlength=1)
+    at = np.flatnonzero(counts)
+    return at // dim, at % dim, counts[at]
+
+
+def _renumbered(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    table = np.zeros(int(first[-1]) + 1, np.int64)
+    table[first] = np.arange(len(first))
+    return table[key]
+
+
+def _dealt(seqs: DataFrame) -> DataFrame:
+    """Sequences dealt out by id before they become rows a letter (their file may be a single split)."""
+    spark = seqs.sparkSession
+    return seqs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "seq_id")
 
 
 def explode_residues(seqs: DataFrame) -> DataFrame:
-    """M6: (seq_id, pos, aa) of every residue; an empty sequence has none."""
-    return seqs.where(F.length("seq_str") > 0).select("seq_id", F.posexplode(F.split("seq_str", "")).alias("pos", "aa"))
+    """M6: (seq_id, pos, aa) of every residue, dealt out by sequence; an empty sequence has none."""
+    x = _dealt(seqs.where(F.length("seq_str") > 0).select("seq_id", "seq_str"))
+    return x.select("seq_id", F.posexplode(F.split("seq_str", "")).alias("pos", "aa"))
 
 
 def check_lengths(seqs: DataFrame, vectors: DataFrame) -> DataFrame:
