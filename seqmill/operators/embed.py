@@ -54,11 +54,11 @@ def embed_sequences(seqs: DataFrame, make_predict: Callable[[], Callable], layer
     def pooled(seq, by_layer):
         wanted = [max(by_layer)] if layers is None else layers
         for layer in wanted:
-            m = np.asarray(by_layer[layer], np.float64)
+            m = np.asarray(by_layer[layer])
             if len(m) - 2 != len(seq):
                 raise ValueError(f"{max(len(m) - 2, 0)} vectors for {len(seq)} residues")
             m = m[1:-1] if strip else m
-            yield layer, len(m), m.mean(0).tolist()
+            yield layer, len(m), m.mean(0, dtype=np.float64).tolist()
 
     def run(frames):
         predict = make_predict()
@@ -97,13 +97,20 @@ def embed_into(seqs: DataFrame, make_predict: Callable[[], Callable], folder: st
 
     Ids are dealt into ``chunks`` by hash and each chunk is one commit of vectors and errors, so a job that is stopped keeps its
     finished chunks, and a later one goes on with the ids that no commit has.  Ids with an error are not tried again.
+    What is missing is found from ids alone: the sequences of a chunk that is all done are not made again, and only those of
+    a chunk that is done in part are shuffled to be told apart.
     """
     from seqmill.sources.commits import commit, committed
 
     spark = seqs.sparkSession
     for c in range(chunks):
-        part = seqs.where(F.pmod(F.xxhash64("seq_id"), F.lit(chunks)) == c)
-        done = committed(spark, folder)
+        mine = F.pmod(F.xxhash64("seq_id"), F.lit(chunks)) == c
+        part, done = seqs.where(mine), committed(spark, folder)
+        done = None if done is None else done.where(mine)
+        if done is not None and done.isEmpty():
+            done = None
+        elif done is not None and part.select("seq_id").join(done.select("seq_id"), "seq_id", "left_anti").isEmpty():
+            continue
         vectors, errors = embed_sequences(part, make_predict, done=done, **options)
         rows = vectors.withColumn("message", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
         if not rows.isEmpty():

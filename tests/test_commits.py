@@ -1,6 +1,8 @@
 """Sinks under failures: nothing of a failed job is seen, nothing is there twice."""
 
+import hashlib
 import os
+import uuid
 
 import numpy as np
 import pytest
@@ -69,3 +71,42 @@ def test_embedding_job_goes_on_where_it_was_stopped(spark, tmp_path):
     ids = [r.seq_id for r in v.collect()]
     assert sorted(ids) == sorted(f"s{i}" for i in range(40) if i % 7) and {r.seq_id for r in e.collect()} == {f"s{i}" for i in range(0, 40, 7)}
     assert len(os.listdir(log)) == len(set(ids) - kept)  # what was kept is not computed again
+
+
+def test_a_finished_embedding_job_makes_no_sequence_again(spark, tmp_path):
+    """Which ids are missing is found without their sequences; a table that has grown is gone on with."""
+    folder, log = f"{tmp_path}/emb", tmp_path / "log"
+    log.mkdir()
+
+    @F.udf("string")
+    def made(i):
+        (log / f"{i}-{uuid.uuid4().hex}").touch()
+        return "A" * (i % 7)
+
+    def seqs(n):
+        return spark.range(n, numPartitions=3).select(F.concat(F.lit("s"), "id").alias("seq_id"), made("id").alias("seq_str"))
+
+    def make():
+        return lambda texts: [{1: np.ones((len(t) + 2, 2), np.float32)} for t in texts]
+
+    EM.embed_into(seqs(40), make, folder)
+    first = len(os.listdir(log))
+    v, e = EM.embed_into(seqs(40), make, folder)
+    assert first >= 40 and len(os.listdir(log)) == first
+    assert v.count() == sum(i % 7 > 0 for i in range(40)) and e.count() == 6
+    v, _ = EM.embed_into(seqs(43), make, folder)
+    assert sorted(r.seq_id for r in v.collect()) == sorted(f"s{i}" for i in range(43) if i % 7)
+
+
+def test_the_letter_model_hashes_each_letter_once(monkeypatch):
+    from seqmill.plans import q_misc
+
+    predict, calls, md5 = q_misc._letter_model(), [], hashlib.md5
+    monkeypatch.setattr(q_misc.hashlib, "md5", lambda x: calls.append(x) or md5(x))
+    out = predict(["ABBA" * 50, "", "CA"])
+    assert sorted(calls) == [b"A", b"B", b"C"]
+    for text, by_layer in zip(["ABBA" * 50, "", "CA"], out):
+        want = np.zeros((len(text) + 2, q_misc.DIM))
+        for i, c in enumerate(text):
+            want[i + 1, int(md5(c.encode()).hexdigest()[:8], 16) % q_misc.DIM] = 1
+        assert (by_layer[1] == want).all() and (by_layer[2] == 2 * want).all()
