@@ -440,3 +440,13 @@ def test_bad_fasta_headers(spark, tmp_path):
         FS.read_fasta(spark, f"file://{tmp_path}", "tagged", "FAILFAST").collect()
     std = {r.id for r in FS.read_fasta(spark, f"file://{tmp_path}").collect()}
     assert std == {"db", "t"}
+
+
+def test_draws_of_other_groups_are_not_shuffled(spark):
+    """The drawn pairs outnumber the rows, so the rows go to them."""
+    df = spark.createDataFrame([(i, f"g{i % 4}") for i in range(60)], "id long, grp string")
+    rows = EV.numbered(df, "id", "grp")
+    drawn = EV._others(rows, rows, 60, F.lit(5), 0)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert drawn.count() == 300 and drawn.where(F.pmod(F.col("id"), F.lit(4)) == F.pmod(F.col("other"), F.lit(4))).isEmpty()
