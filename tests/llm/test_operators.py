@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -228,6 +229,38 @@ def test_context_mixing_repeats_nulls_and_clashing_columns(spark):
     assert all(x.n_tokens == 1 for x in got if x.doc_id in (None, 2))
 
 
+def test_distinct_pairs_in_little_memory():
+    r = np.random.default_rng(9)
+    texts = [np.append(r.integers(1, 300, n), 0).astype(np.uint32) for n in r.integers(0, 4000, 400)]
+    train = [i % 3 > 0 for i in range(len(texts))]
+    hashes = r.integers(0, 1 << 48, 300, dtype=np.uint64)
+    tracemalloc.start()
+    keys, times = ctxmix.distinct_pairs(texts, train, hashes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Counter()
+    for x, learnt in zip(texts, train):
+        for k in ctxmix._pairs(x, hashes).tolist():
+            want[k] += learnt
+    assert keys.tolist() == sorted(want) and times.tolist() == [want[k] for k in keys.tolist()]
+    assert most < 32 * sum(map(len, texts))  # bytes a word; 8 of them are the key
+
+
+def test_places_of_words_go_to_their_chunks_and_back():
+    r = np.random.default_rng(10)
+    chunks_, idx = [np.concatenate(x) for x in zip(*((np.full(n, c), r.permutation(n)) for c, n in ((3, 5000), (1 << 40, 70), (7, 1))))]
+    total = r.integers(0, 9, len(idx))
+    total[17] = 1 << 33  # more than 32 bits
+    lp, hashes, size = r.normal(size=len(idx)).astype(np.float32), r.integers(0, 1 << 48, len(idx), dtype=np.uint64), r.integers(0, 1 << 20, len(idx))
+    at = r.permutation(len(idx))
+    rows = [b for part in np.array_split(at, 3) for b in ctxmix.packed_places(*(x[part] for x in (chunks_, idx, total, lp, hashes, size)))]
+    rows = pa.Table.from_batches(rows).to_pylist()
+    for c in np.unique(chunks_):
+        got = ctxmix.unpacked_places(pa.Table.from_pylist([x for x in rows if x["chunk"] == c]))
+        own = np.flatnonzero(chunks_ == c)[np.argsort(idx[chunks_ == c])]
+        assert [x.tolist() for x in got] == [x[own].tolist() for x in (total, lp.astype(float), hashes, size)]
+
+
 # ---- 3 packing
 
 def test_packing_is_gapless_and_tight(spark):
